@@ -42,6 +42,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + next(spare)) for b in range(256)]
 
 
+class Memory(dict):
+    """Results of a function by argument, worked out when first looked up."""
+
+    def __init__(self, work) -> None:
+        self.work = work
+
+    def __missing__(self, key: str):
+        out = self[key] = self.work(key)
+        return out
+
+
 class WordBPE:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -56,8 +67,7 @@ class WordBPE:
         self.strings = {i: s for s, i in (self.vocabulary | self.special).items()}
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.words, self.chunks = Memory(self.word), Memory(self.chunk)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge a word's symbols by rank, leftmost first among equal ranks."""
@@ -81,19 +91,18 @@ class WordBPE:
         return [s for s in symbols if s >= 0]
 
     def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            letters = [self.letters[b] for b in word.encode()]
-            letters[-1] += self.suffix
-            known = [self.vocabulary[x] for x in letters if x in self.vocabulary]
-            ids = self.words[word] = tuple(self.merge(known))
-        return ids
+        """Ids of one piece of the splitting pattern."""
+        raw = word.encode()
+        letters = list(word) if len(raw) == len(word) and word.isalpha() else [self.letters[b] for b in raw]
+        letters[-1] += self.suffix
+        ids = self.vocabulary
+        return tuple(self.merge([ids[x] for x in letters if x in ids]))
 
     def plain(self, text: str) -> Iterator[int]:
         text = unicodedata.normalize("NFC", text)
         text = text.lower() if text.isascii() else "".join(map(str.lower, text))
         for word in PATTERN.findall(text):
-            yield from self.word(word)
+            yield from self.words[word]
 
     def ids(self, text: str) -> list[int]:
         """Ids of any text."""
@@ -112,7 +121,12 @@ class WordBPE:
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids of a run without spaces, and its decoded text, each piece followed by a space."""
-        ids = self.ids(chunk)
+        mark = chunk[-1:] if chunk[-1:] in (",", ".") else ""
+        core = chunk[: len(chunk) - len(mark)]
+        if core.isascii() and core.isalpha():  # one piece, or one and a mark: the pattern need not run
+            ids = [*self.words[core.lower()], *(self.words[mark] if mark else ())]
+        else:
+            ids = self.ids(chunk)
         return array("I", ids).tobytes(), (self.decode(ids) + " ").encode() if ids else b""
 
     def encode_bytes(self, text: str) -> tuple[bytes, bytes]:
@@ -125,10 +139,7 @@ class WordBPE:
             self.words.clear()
         if len(self.chunks) > MOST_CHUNKS:
             self.chunks.clear()
-        chunks, split = self.chunks, text.replace("\n", " ").split(" ")
-        for c in set(split) - chunks.keys():
-            chunks[c] = self.chunk(c)
-        found = [chunks[c] for c in split]
+        found = list(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
         return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])[:-1]
 
 
