@@ -17,7 +17,7 @@ from .evaluate import evaluate_predictions, partition_summary, select_threshold,
 HIT_COHORT = {"min_year": 1960, "train_end": 2013, "validation_end": 2018, "test_end": 2023}
 AWARDS_COHORT = {"min_year": 1960, "train_end": 2007, "validation_end": 2013, "test_end": 2019}
 HIT_THRESHOLDS = tuple(round(0.05 + 0.025 * i, 3) for i in range(37))
-AWARDS_THRESHOLDS = tuple(sorted({0.01, *(round(0.02 * i, 3) for i in range(1, 38))}))
+AWARDS_THRESHOLDS = tuple(round(0.01 + 0.02 * i, 3) for i in range(38))
 
 
 def feature_pipeline(feature_cols: Sequence[str], *, label_col: str) -> Pipeline:
