@@ -1,11 +1,333 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries: each operator over a whole table of the driver's."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import clean, labels
+from ..ml import evaluate
+from ..ml.pipeline import HIT_THRESHOLDS, candidates, feature_pipeline
+from ..operators import analytics, enrich, explode, history, quality, rollup
+from .tables import view
+
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SPLIT = {"train_end": 1997, "validation_end": 1999, "test_end": 2001}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    REGISTRY[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(REGISTRY)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "tagged").withColumn("genres", clean.list_field(F.col("genre_list"))).drop("genre_list")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.relevant_principals(view(spark, sf_dir, "edges"))
+
+
+def past(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.entity_history(edges(spark, sf_dir), view(spark, sf_dir, "items"))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.role_features(edges(spark, sf_dir), past(spark, sf_dir))
+
+
+def nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode.award_nominations(view(spark, sf_dir, "award_rows"))
+
+
+@query
+def enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: every item with its point-in-time role features or their defaults."""
+    return enrich.enriched_movies(view(spark, sf_dir, "items"), features(spark, sf_dir))
+
+
+@query
+def null_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, r"\N").otherwise(F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 5 == 0, r"\N").otherwise(F.col("c_nationkey").cast("string")).alias("nation"))
+    return clean.null_marks(marked)
+
+
+@query
+def typed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "x1").otherwise(F.col("o_custkey").cast("string")).alias("as_int"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("o_orderkey").cast("string")).alias("as_long"), F.when(F.col("o_orderkey") % 5 == 0, "1.5").otherwise("n/a").alias("as_double"))
+    return clean.try_casts(rows, {"as_int": "int", "as_long": "long", "as_double": "double"})
+
+
+@query
+def filter_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def filter_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.only(table(spark, sf_dir, "orders"), "o_orderstatus", "F").select("o_orderkey", "o_orderstatus")
+
+
+@query
+def regex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "award_rows").where(F.col("FilmId").rlike(explode.ITEM_ID)).groupBy("FilmId").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tag_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).select("tconst", F.coalesce(F.array_size("genres"), F.lit(-1)).alias("n_tags"), F.array_join("genres", "/").alias("tags"))
+
+
+@query
+def exploded_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode.explode_tags(tagged(spark, sf_dir)).select("tconst", "genre")
+
+
+@query
+def rated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tconst"), F.col("o_orderpriority").alias("primaryTitle"), F.col("o_orderstatus").alias("originalTitle"), F.year("o_orderdate").alias("startYear"), (F.col("o_custkey") % 260).cast("int").alias("runtimeMinutes"), F.col("o_orderpriority").alias("genres"))
+    ratings = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tconst")).agg(F.max(F.when(F.col("l_linenumber") > 1, F.col("l_linenumber"))).alias("averageRating"), F.count(F.lit(1)).alias("numVotes"))
+    return enrich.rated_movies(titles, ratings)
+
+
+@query
+def restricted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early = view(spark, sf_dir, "items").where("start_year <= 1997")
+    return enrich.restrict(view(spark, sf_dir, "edges"), early).groupBy("tconst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def names_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("nconst"), F.col("s_name").alias("primary_name"), F.col("s_nationkey").alias("birth_year"))
+    return enrich.attach_names(edges(spark, sf_dir), names).groupBy("nconst", "primary_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def known_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = rollup.known_people(past(spark, sf_dir), min_score=5.5)
+    return enrich.attach_known_people(edges(spark, sf_dir), known).groupBy("nconst", "is_known_person").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def career_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.known_people(past(spark, sf_dir), min_score=5.5)
+
+
+@query
+def entity_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return past(spark, sf_dir)
+
+
+@query
+def entity_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.entity_history_by_window(edges(spark, sf_dir), view(spark, sf_dir, "items"))
+
+
+@query
+def role_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spark, sf_dir)
+
+
+@query
+def award_nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nominations(spark, sf_dir)
+
+
+@query
+def award_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.award_features(nominations(spark, sf_dir))
+
+
+@query
+def awards_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").select(F.concat(F.lit("tt"), F.col("c_custkey").cast("string")).alias("tconst"), "c_mktsegment")
+    return enrich.awards_enriched_movies(base, award_features(spark, sf_dir))
+
+
+@query
+def genre_decades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.genre_decade_stats(tagged(spark, sf_dir), exact=True)
+
+
+@query
+def runtime_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.runtime_bucket_stats(tagged(spark, sf_dir), min_films=5, exact=True)
+
+
+@query
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.rating_anomalies(tagged(spark, sf_dir), exact=True)
+
+
+@query
+def prior_vs_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.director_prior_vs_rating(enriched_orders(spark, sf_dir))
+
+
+@query
+def prior_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = enriched_orders(spark, sf_dir).where("director_prior_rating_mean IS NOT NULL AND average_rating IS NOT NULL")
+    return rows.agg(F.round(F.corr("director_prior_rating_mean", "average_rating"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def signal_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labeled = labels.with_hit_label(tagged(spark, sf_dir))
+    out = analytics.signal_lift(labeled, signal_col="num_votes", tie_break=("tconst",))
+    return out.withColumns({c: F.round(c, 9) for c in ("signal_mean", "outcome_rate", "lift_vs_eligible")})
+
+
+@query
+def label_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.label_grid(tagged(spark, sf_dir))
+
+
+@query
+def label_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.label_rate(labels.with_hit_label(tagged(spark, sf_dir)))
+
+
+@query
+def genre_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = labels.add_genre_flags(tagged(spark, sf_dir), ("Red", "blue"))
+    top = labels.add_genre_flags(flagged).select("tconst", "genre_red", "genre_blue", "genre_drama")
+    return top
+
+
+@query
+def modeling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = enriched_orders(spark, sf_dir).withColumns({"genres": F.array(F.lit("Drama")), "was_oscar_nominated": F.when(F.col("tconst") % 3 == 0, F.col("tconst") % 2 == 0)})
+    frame = labels.modeling_frame(frame)
+    return frame.select("tconst", "is_hit", "label_awards", "has_known_cast", "has_known_director", "genre_drama", "genre_comedy")
+
+
+@query
+def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.top_tags(tagged(spark, sf_dir))
+
+
+@query
+def decade_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.decade_profile(tagged(spark, sf_dir))
+
+
+@query
+def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.null_profile(tagged(spark, sf_dir))
+
+
+@query
+def item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.summary(tagged(spark, sf_dir))
+
+
+@query
+def tag_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.genre_summary(analytics.genre_decade_stats(tagged(spark, sf_dir), exact=True), min_films=5)
+
+
+@query
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = zip(("train", "validation", "test"), evaluate.temporal_split(view(spark, sf_dir, "scored"), **SPLIT))
+    frames = [evaluate.partition_frame(p, label_col="label").select(F.lit(name).alias("part"), "*") for name, p in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted, _ = evaluate.with_balanced_class_weights(view(spark, sf_dir, "scored"), label_col="label")
+    return weighted.groupBy("label", "class_weight").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def applied_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.apply_threshold(view(spark, sf_dir, "scored"), threshold=0.35).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = labels.apply_threshold(view(spark, sf_dir, "scored"), threshold=0.35)
+    return evaluate.with_rates(scored.agg(*evaluate.confusion(F.col("label"), F.col("prediction"))))
+
+
+@query
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.sweep_frame(view(spark, sf_dir, "scored"), label_col="label", thresholds=HIT_THRESHOLDS)
+
+
+@query
+def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.threshold_sweep(view(spark, sf_dir, "scored"), label_col="label", thresholds=HIT_THRESHOLDS)
+    best = evaluate.select_threshold(rows, minimum_recall=0.25)
+    return spark.range(1).select(F.lit(best["threshold"]).alias("threshold"), F.lit(best["tp"]).cast("long").alias("tp"), F.lit(best["fp"]).cast("long").alias("fp"))
+
+
+@query
+def roc_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.roc_auc(view(spark, sf_dir, "scored"), label_col="label").select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query
+def quality_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(view(spark, sf_dir, "items"), quality.movie_checks(), "tconst")
+
+
+@query
+def quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(features(spark, sf_dir), quality.feature_checks(), "tconst")
+
+
+@query
+def quality_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(award_features(spark, sf_dir), quality.award_checks(), "tconst")
+
+
+@query
+def quality_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = [*quality.key_checks("tconst"), quality.Check("role_null", F.col("category").isNull()), quality.Check("self_role", F.col("category") == "self", "warning")]
+    return quality.report(view(spark, sf_dir, "edges"), checks, "tconst")
+
+
+@query
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("nconst").alias("people"), F.countDistinct("tconst").alias("films"))
+
+
+@query
+def history_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest career of each role group at its latest film."""
+    rows = past(spark, sf_dir).join(edges(spark, sf_dir).select("tconst", "nconst", rollup.role_group(F.col("category")).alias("g")).distinct(), ["tconst", "nconst"])
+    best = rows.groupBy("g", "nconst").agg(F.max("prior_movie_count").alias("prior_movie_count"))
+    first = Window.partitionBy("g").orderBy(F.desc("prior_movie_count"), "nconst")
+    return best.withColumn("k", F.row_number().over(first)).where("k <= 3").drop("k")
+
+
+@query
+def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small logistic regression and tree ensemble on the feature frame; one row each."""
+    frame = labels.with_hit_label(enriched_orders(spark, sf_dir), rating_min=7.0, votes_min=100_000)
+    columns = ["runtime_minutes", "principal_count", "director_prior_rating_mean", "cast_prior_rating_mean"]
+    frame = labels.predictors_as_double(frame.where("is_hit IS NOT NULL"), columns)
+    train, _, test = evaluate.temporal_split(frame, **SPLIT)
+    train, _ = evaluate.with_balanced_class_weights(train, label_col="is_hit")
+    out = []
+    for name in ("lr_0.01_0.0", "gbt_3_20"):
+        estimator = candidates("is_hit", max_iter=20, trees=(5,)) if name.startswith("gbt") else candidates("is_hit", max_iter=20)
+        estimator = estimator.get(name) or estimator["gbt_3_5"]
+        pipeline = feature_pipeline(columns, label_col="is_hit")
+        model = pipeline.setStages([*pipeline.getStages(), estimator]).fit(train)
+        m = evaluate.evaluate_predictions(labels.with_positive_score(model.transform(test)), label_col="is_hit")
+        out.append((name, float(m["roc_auc"]), float(m["pr_auc"]), m["tp"] + m["fn"]))
+    return spark.createDataFrame(out, "candidate string, roc_auc double, pr_auc double, positives long")
+
+
