@@ -65,7 +65,7 @@ AWARD_COUNTS = [f"{g}_{k}_count" for g in ("oscar", "best_picture", "acting", "d
 TAGGED = with_views("tagged") + ", t AS (SELECT * EXCLUDE (genre_list), CASE WHEN trim(genre_list) <> '' THEN string_split(genre_list, ',') END AS genres FROM tagged)"
 DECADE = "CAST(floor(start_year / 10) * 10 AS INTEGER)"
 HIT = "CASE WHEN average_rating >= 7 AND num_votes >= 1000 THEN 1 WHEN average_rating < 7 OR num_votes < 1000 THEN 0 END"
-DECADES = TAGGED + f""", x AS (SELECT *, {DECADE} AS decade, unnest(genres) AS genre FROM t), stats AS (SELECT decade, genre, CAST(count(*) AS BIGINT) AS film_count, quantile_disc(average_rating, 0.5) AS median_rating, CAST(sum(num_votes) AS BIGINT) AS total_votes, quantile_disc(num_votes, 0.5) AS median_votes
+DECADES = TAGGED + f""", x AS (SELECT *, {DECADE} AS decade, unnest(genres) AS genre FROM t), stats AS (SELECT decade, genre, CAST(count(*) AS BIGINT) AS film_count, CAST(quantile_disc(average_rating, 0.5) AS DOUBLE) AS median_rating, CAST(sum(num_votes) AS BIGINT) AS total_votes, CAST(quantile_disc(num_votes, 0.5) AS DOUBLE) AS median_votes
   FROM x WHERE genre <> '' AND decade IS NOT NULL GROUP BY ALL)"""
 SCORED = with_views("scored")
 RATES = "CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS recall, CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0) AS positive_f1, CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0) AS accuracy, CAST(tp + fn AS DOUBLE) / nullif(tp + fp + fn + tn, 0) AS prevalence"
@@ -88,8 +88,10 @@ GRID = " UNION ALL ".join(f"SELECT CAST({r} AS DOUBLE) AS rating_min, CAST({v} A
 PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count({c}) AS BIGINT) AS nulls FROM t" for c in ("tconst", "primary_title", "start_year", "runtime_minutes", "average_rating", "num_votes", "genres"))
 PARTS = " UNION ALL ".join(f"SELECT '{n}' AS part, CAST(count(*) AS BIGINT) AS rows, min(start_year) AS min_year, max(start_year) AS max_year, CAST(coalesce(sum(label), 0) AS BIGINT) AS positives, avg(label) AS positive_rate FROM scored WHERE {c}" for n, c in (("train", "start_year <= 1997"), ("validation", "start_year BETWEEN 1998 AND 1999"), ("test", "start_year BETWEEN 2000 AND 2001")))
 
+ROUNDED = "* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in FLOATS) + ")"
+
 SQL: dict[str, str] = {
-    "enriched_orders": BASE + ENRICHED + " SELECT * FROM enriched",
+    "enriched_orders": BASE + ENRICHED + f" SELECT {ROUNDED} FROM enriched",
     "null_marks": r"SELECT c_custkey, nullif(CASE WHEN c_custkey % 7 = 0 THEN '\N' ELSE c_mktsegment END, '\N') AS segment, nullif(CASE WHEN c_custkey % 5 = 0 THEN '\N' ELSE CAST(c_nationkey AS VARCHAR) END, '\N') AS nation FROM customer",
     "typed_casts": "SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'x1' ELSE CAST(o_custkey AS VARCHAR) END AS INTEGER) AS as_int, TRY_CAST(CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS BIGINT) AS as_long, TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN '1.5' ELSE 'n/a' END AS DOUBLE) AS as_double FROM orders",
     "filter_roles": with_views("edges") + f" SELECT category, CAST(count(*) AS BIGINT) AS n FROM edges WHERE category IN ({ROLES}) GROUP BY category",
@@ -104,14 +106,14 @@ SQL: dict[str, str] = {
     "career_lookup": KNOWN + " SELECT * FROM career",
     "entity_history": BASE + " SELECT * FROM past",
     "entity_history_window": BASE + " SELECT * FROM past",
-    "role_features": BASE + FEATURES + " SELECT * FROM feats",
+    "role_features": BASE + FEATURES + f" SELECT {ROUNDED} FROM feats",
     "award_nominations": NOMS + " SELECT * FROM noms",
     "award_features": AWARDS + " SELECT * FROM aw",
     "awards_enriched": AWARDS + ", b AS (SELECT concat('tt', c_custkey) AS tconst, c_mktsegment FROM customer) SELECT b.*, first_oscar_ceremony, last_oscar_ceremony, " + ", ".join([*(f"coalesce({c}, 0) AS {c}" for c in AWARD_COUNTS), *(f"coalesce({c}, false) AS {c}" for c in ("was_oscar_nominated", "was_oscar_winner", "best_picture_nominated", "best_picture_won"))]) + " FROM b LEFT JOIN aw ON b.tconst = aw.tconst",
     "genre_decades": DECADES + " SELECT * FROM stats",
-    "runtime_buckets": TAGGED + " SELECT CAST(floor(runtime_minutes / 15) * 15 AS INTEGER) AS runtime_bucket, CAST(count(*) AS BIGINT) AS film_count, quantile_disc(average_rating, 0.5) AS median_rating, avg(average_rating) AS mean_rating, CAST(sum(num_votes) AS BIGINT) AS total_votes FROM t WHERE runtime_minutes BETWEEN 40 AND 240 GROUP BY 1 HAVING count(*) >= 5",
+    "runtime_buckets": TAGGED + " SELECT CAST(floor(runtime_minutes / 15) * 15 AS INTEGER) AS runtime_bucket, CAST(count(*) AS BIGINT) AS film_count, CAST(quantile_disc(average_rating, 0.5) AS DOUBLE) AS median_rating, avg(average_rating) AS mean_rating, CAST(sum(num_votes) AS BIGINT) AS total_votes FROM t WHERE runtime_minutes BETWEEN 40 AND 240 GROUP BY 1 HAVING count(*) >= 5",
     "anomalies": TAGGED + ", c AS (SELECT CAST(quantile_disc(num_votes, 0.1) AS DOUBLE) AS vote_cut_used FROM t) SELECT tconst, primary_title, start_year, average_rating, num_votes, runtime_minutes, vote_cut_used FROM t, c WHERE average_rating >= 8 AND num_votes <= vote_cut_used",
-    "prior_vs_rating": BASE + ENRICHED + " SELECT tconst, primary_title, start_year, average_rating, num_votes, director_prior_rating_mean, director_prior_movie_count_mean, director_prior_votes_sum FROM enriched WHERE director_prior_rating_mean IS NOT NULL",
+    "prior_vs_rating": BASE + ENRICHED + " SELECT tconst, primary_title, start_year, average_rating, num_votes, round(director_prior_rating_mean, 6) AS director_prior_rating_mean, round(director_prior_movie_count_mean, 6) AS director_prior_movie_count_mean, director_prior_votes_sum FROM enriched WHERE director_prior_rating_mean IS NOT NULL",
     "prior_correlation": BASE + ENRICHED + " SELECT round(corr(director_prior_rating_mean, average_rating), 6) AS r, CAST(count(*) AS BIGINT) AS n FROM enriched WHERE director_prior_rating_mean IS NOT NULL AND average_rating IS NOT NULL",
     "signal_lift": TAGGED + f", l AS (SELECT *, {HIT} AS is_hit FROM t), b AS (SELECT *, ntile(4) OVER (ORDER BY num_votes, tconst) AS signal_band, avg(is_hit) OVER () AS base FROM l WHERE is_hit IS NOT NULL AND num_votes IS NOT NULL) SELECT CAST(signal_band AS INTEGER) AS signal_band, CAST(count(*) AS BIGINT) AS film_count, min(num_votes) AS signal_min, max(num_votes) AS signal_max, round(avg(num_votes), 9) AS signal_mean, round(avg(is_hit), 9) AS outcome_rate, round(avg(is_hit) / nullif(max(base), 0), 9) AS lift_vs_eligible FROM b GROUP BY 1",
     "label_grid": TAGGED + " " + GRID,

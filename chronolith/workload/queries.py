@@ -50,10 +50,19 @@ def nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode.award_nominations(view(spark, sf_dir, "award_rows"))
 
 
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enriched_movies(view(spark, sf_dir, "items"), features(spark, sf_dir))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Means of fractions to six places: their last digits depend on the order of the sum."""
+    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
+
+
 @query
 def enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every item with its point-in-time role features or their defaults."""
-    return enrich.enriched_movies(view(spark, sf_dir, "items"), features(spark, sf_dir))
+    return rounded(enriched(spark, sf_dir))
 
 
 @query
@@ -135,7 +144,7 @@ def entity_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def role_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir)
+    return rounded(features(spark, sf_dir))
 
 
 @query
@@ -171,12 +180,12 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prior_vs_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.director_prior_vs_rating(enriched_orders(spark, sf_dir))
+    return rounded(analytics.director_prior_vs_rating(enriched(spark, sf_dir)))
 
 
 @query
 def prior_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = enriched_orders(spark, sf_dir).where("director_prior_rating_mean IS NOT NULL AND average_rating IS NOT NULL")
+    rows = enriched(spark, sf_dir).where("director_prior_rating_mean IS NOT NULL AND average_rating IS NOT NULL")
     return rows.agg(F.round(F.corr("director_prior_rating_mean", "average_rating"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
@@ -206,7 +215,7 @@ def genre_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def modeling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = enriched_orders(spark, sf_dir).withColumns({"genres": F.array(F.lit("Drama")), "was_oscar_nominated": F.when(F.col("tconst") % 3 == 0, F.col("tconst") % 2 == 0)})
+    frame = enriched(spark, sf_dir).withColumns({"genres": F.array(F.lit("Drama")), "was_oscar_nominated": F.when(F.col("tconst") % 3 == 0, F.col("tconst") % 2 == 0)})
     frame = labels.modeling_frame(frame)
     return frame.select("tconst", "is_hit", "label_awards", "has_known_cast", "has_known_director", "genre_drama", "genre_comedy")
 
@@ -315,7 +324,7 @@ def history_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small logistic regression and tree ensemble on the feature frame; one row each."""
-    frame = labels.with_hit_label(enriched_orders(spark, sf_dir), rating_min=7.0, votes_min=100_000)
+    frame = labels.with_hit_label(enriched(spark, sf_dir), rating_min=7.0, votes_min=100_000)
     columns = ["runtime_minutes", "principal_count", "director_prior_rating_mean", "cast_prior_rating_mean"]
     frame = labels.predictors_as_double(frame.where("is_hit IS NOT NULL"), columns)
     train, _, test = evaluate.temporal_split(frame, **SPLIT)
