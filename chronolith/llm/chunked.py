@@ -9,10 +9,29 @@ keeps the ids of the chunks it has met, up to a bound, then starts anew.
 from __future__ import annotations
 
 import os
+import unicodedata
 from array import array
 
 #: Entries and characters that a worker's memory of chunks may hold.
-MOST_CHUNKS, MOST_CHARS = 700_000, 24 << 20
+MOST_CHUNKS, MOST_CHARS = 600_000, 24 << 20
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character of each byte: itself if visible, else the next from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256))
+    return {b: chr(b) if b in visible else chr(256 + next(spare)) for b in range(256)}
+
+
+class Known(dict):
+    """Chunks and their ids; a new chunk is learned when first looked up."""
+
+    def __init__(self, encoder: ChunkEncoder, lead: str) -> None:
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self[chunk] = self.encoder.learn(chunk, self.lead)
+        return ids
 
 
 class ChunkEncoder:
@@ -35,11 +54,14 @@ class ChunkEncoder:
         self.library.no_padding()
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 65_536
         self.spaced = spaced
+        self.model, self.letters = self.library.model, byte_letters()
+        self.marks = {"": b"", "\n": self.whole("\n")} | {m: self.whole(m) for m in ",."}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes | None] = {"": None if self.spaced else b""}
-        self.heads: dict[str, bytes | None] = {"": None}
+        self.known, self.heads = Known(self, "Ġ" if self.spaced else ""), Known(self, "")
+        self.known[""], self.heads[""] = None if self.spaced else b"", None
+        self.words: dict[str, bytes] = {}
         self.chars = 0
 
     def pack(self, ids: list[int]) -> bytes:
@@ -48,39 +70,50 @@ class ChunkEncoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, known: dict[str, bytes | None], chunks: set[str], lead: str) -> None:
-        fresh = []
-        for chunk in chunks:
-            body = chunk[1:] if self.spaced and chunk[0] == "\n" else chunk
-            if self.spaced and (not body or body != body.strip()):
-                known[chunk] = None
-            else:
-                fresh.append(chunk)
-            self.chars += len(chunk)
-        inputs = [c if c[0] == "\n" else lead + c for c in fresh]
-        for chunk, e in zip(fresh, self.library.encode_batch_fast(inputs, add_special_tokens=False)):
-            known[chunk] = self.pack(e.ids)
+    def word(self, word: str, lead: str) -> bytes | None:
+        """The ids of letters only, which no splitting pattern cuts; None if they change under normalising."""
+        if not self.spaced:
+            if not word.isascii() and not unicodedata.is_normalized("NFC", word):
+                return None
+            word = word.lower() if word.isascii() else "".join(map(str.lower, word))
+            if not word.isalpha():
+                return None
+        key = lead + word
+        if (ids := self.words.get(key)) is None:
+            # the model takes bytes as printable characters; letters of ASCII are their own, a space is the lead
+            raw = key if word.isascii() else lead + word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[key] = self.pack([t.id for t in self.model.tokenize(raw)])
+        return ids
+
+    def learn(self, chunk: str, lead: str) -> bytes | None:
+        """A chunk's ids: letters with at most a newline before and a mark after by the model, others by the whole tokenizer.
+
+        None for a chunk whose white space belongs with its neighbours'.
+        """
+        self.chars += len(chunk)
+        line = self.spaced and chunk[:1] == "\n"
+        body = chunk[1:] if line else chunk
+        mark = body[-1:] if body[-1:] in (",", ".") else ""
+        core = body[: len(body) - len(mark)]
+        if core.isalpha() and (ids := self.word(core, "" if line else lead)) is not None:
+            return (self.marks["\n"] if line else b"") + ids + self.marks[mark]
+        if self.spaced and (not body or body != body.strip()):
+            return None
+        return self.whole(chunk if line else (" " if lead else "") + chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_CHUNKS or self.chars > MOST_CHARS:
-            self.forget()
-        if self.spaced:
-            split = [t.replace("\n", " \n").split(" ") for t in texts]
-            first = [words[0] for words in split]
-            self.learn(self.heads, set(first) - self.heads.keys(), "")
-            for words in split:
-                del words[0]
-        else:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(self.known, set().union(*split) - self.known.keys(), " " if self.spaced else "")
-        get, out = self.known.__getitem__, []
-        for i, (text, words) in enumerate(zip(texts, split)):
+        out = []
+        for text in texts:
+            if len(self.known) + len(self.words) > 2 * MOST_CHUNKS or self.chars > MOST_CHARS:
+                self.forget()
             if not text:
                 out.append(b"")
-                continue
-            try:
-                ids = b"".join(map(get, words))
-                out.append(self.heads[first[i]] + ids if self.spaced else ids)
-            except TypeError:  # a chunk that can't stand alone
-                out.append(self.whole(text))
+            elif not self.spaced:
+                out.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
+            else:
+                first, *rest = text.replace("\n", " \n").split(" ")
+                try:
+                    out.append(self.heads[first] + b"".join(map(self.known.__getitem__, rest)))
+                except TypeError:  # a chunk that can't stand alone
+                    out.append(self.whole(text))
         return out
