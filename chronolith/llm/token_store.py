@@ -212,7 +212,8 @@ def read(shards: DataFrame) -> DataFrame:
                 offsets = shard.offsets.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.ids, mask=shard.null.astype(bool)), pa.array(base + offsets[ordinal]), pa.array(offsets[ordinal + 1] - offsets[ordinal]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = shards.join(starts(shards), "part").select((F.col("part_start") + F.col("first")).alias("start"), "shard")
+    # one row for each part, of which there are no more than shuffle partitions
+    placed = shards.join(F.broadcast(starts(shards)), "part").select((F.col("part_start") + F.col("first")).alias("start"), "shard")
     return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
