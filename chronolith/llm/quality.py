@@ -30,7 +30,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES: tuple[tuple[str, str], ...] = (
     ("too_short", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("symbols", "5 * n_symbols > word_chars"),
+    ("symbols", "10 * n_symbols > word_chars"),
     ("duplicate_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
     ("long_words", "word_chars > 30 * n_words"),
     ("too_many_repeats", "100 * n_repeat_words > 20 * n_words"),

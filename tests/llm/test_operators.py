@@ -442,7 +442,7 @@ def test_pipeline(spark):
     def passes(i):
         n, chars, symbols, dup, rep = bits[i]
         lines = len([x for x in texts[i].split("\n") if x.strip(" \t\n\x0b\x0c\r")])
-        return not (n < 20 or 100 * rep > 30 * n or 5 * symbols > chars or (lines >= 4 and 2 * dup > lines) or chars > 30 * n)
+        return not (n < 20 or 100 * rep > 30 * n or 10 * symbols > chars or (lines >= 4 and 2 * dup > lines) or chars > 30 * n)
 
     left = {i: t for i, t in texts.items() if passes(i)}
     first = {i for i, _ in brute_exact(list(left.items())).values()}
