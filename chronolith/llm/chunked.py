@@ -3,7 +3,9 @@
 The library spends most of its time merging the same words again.  Both
 tokenizers split text before they merge, and certain white space is always such a
 split, so a text's ids are the ids of its chunks, one after another.  A worker
-keeps the ids of the chunks it has met, up to a bound, then starts anew.
+keeps the ids of the chunks it has met, up to a bound, then starts anew.  Arrow
+splits the texts and numbers the chunks, so Python sees each distinct chunk of a
+run of texts once.
 """
 
 from __future__ import annotations
@@ -12,8 +14,12 @@ import os
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries and characters that a worker's memory of chunks may hold.
-MOST_CHUNKS, MOST_CHARS = 600_000, 24 << 20
+MOST_CHUNKS, MOST_CHARS = 1_200_000, 24 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -30,7 +36,7 @@ class Known(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, chunk: str) -> bytes | None:
-        ids = self[chunk] = self.encoder.learn(chunk, self.lead)
+        ids = self[chunk] = self.encoder.learn(chunk, self)
         return ids
 
 
@@ -61,7 +67,6 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.known, self.heads = Known(self, "Ġ" if self.spaced else ""), Known(self, "")
         self.known[""], self.heads[""] = None if self.spaced else b"", None
-        self.words: dict[str, bytes] = {}
         self.chars = 0
 
     def pack(self, ids: list[int]) -> bytes:
@@ -70,50 +75,61 @@ class ChunkEncoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
-    def word(self, word: str, lead: str) -> bytes | None:
-        """The ids of letters only, which no splitting pattern cuts; None if they change under normalising."""
-        if not self.spaced:
-            if not word.isascii() and not unicodedata.is_normalized("NFC", word):
-                return None
-            word = word.lower() if word.isascii() else "".join(map(str.lower, word))
-            if not word.isalpha():
-                return None
-        key = lead + word
-        if (ids := self.words.get(key)) is None:
+    def letters_only(self, word: str, kept: Known) -> bytes | None:
+        """The ids of letters only, which no splitting pattern cuts; None if normalising may change more than their case."""
+        if word.isascii():
+            if not self.spaced and (lower := word.lower()) != word:
+                return kept[lower]
+            raw = kept.lead + word
+        else:
+            if not self.spaced:
+                if not unicodedata.is_normalized("NFC", word):
+                    return None
+                word = "".join(map(str.lower, word))
+                if not word.isalpha():
+                    return None
             # the model takes bytes as printable characters; letters of ASCII are their own, a space is the lead
-            raw = key if word.isascii() else lead + word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[key] = self.pack([t.id for t in self.model.tokenize(raw)])
-        return ids
+            raw = kept.lead + word.encode().decode("latin-1").translate(self.letters)
+        return self.pack([t.id for t in self.model.tokenize(raw)])
 
-    def learn(self, chunk: str, lead: str) -> bytes | None:
+    def learn(self, chunk: str, kept: Known) -> bytes | None:
         """A chunk's ids: letters with at most a newline before and a mark after by the model, others by the whole tokenizer.
 
+        Letters with a newline or mark look up the letters alone among the kept chunks.
         None for a chunk whose white space belongs with its neighbours'.
         """
         self.chars += len(chunk)
+        if chunk.isalpha():
+            if (ids := self.letters_only(chunk, kept)) is not None:
+                return ids
+            return self.whole((" " if kept.lead else "") + chunk)
         line = self.spaced and chunk[:1] == "\n"
         body = chunk[1:] if line else chunk
         mark = body[-1:] if body[-1:] in (",", ".") else ""
         core = body[: len(body) - len(mark)]
-        if core.isalpha() and (ids := self.word(core, "" if line else lead)) is not None:
-            return (self.marks["\n"] if line else b"") + ids + self.marks[mark]
+        if core.isalpha() and (self.spaced or core.isascii()):
+            return (self.marks["\n"] if line else b"") + (self.heads if line else kept)[core] + self.marks[mark]
         if self.spaced and (not body or body != body.strip()):
             return None
-        return self.whole(chunk if line else (" " if lead else "") + chunk)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if len(self.known) + len(self.words) > 2 * MOST_CHUNKS or self.chars > MOST_CHARS:
-                self.forget()
-            if not text:
-                out.append(b"")
-            elif not self.spaced:
-                out.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
-            else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                try:
-                    out.append(self.heads[first] + b"".join(map(self.known.__getitem__, rest)))
-                except TypeError:  # a chunk that can't stand alone
-                    out.append(self.whole(text))
-        return out
+        return self.whole(chunk if line else (" " if kept.lead else "") + chunk)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Split, number the distinct chunks, look each up once, and join by text; all but the look-up is Arrow's."""
+        if len(self.known) + len(self.heads) > MOST_CHUNKS or self.chars > MOST_CHARS:
+            self.forget()
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.spaced else " "), " ")
+        values, offsets = parts.flatten(), parts.offsets
+        chunks = values.dictionary_encode()
+        ids = list(map(self.known.__getitem__, chunks.dictionary.to_pylist()))
+        at = chunks.indices
+        if self.spaced:  # a text's first chunk has no space before it
+            first = offsets[:-1]
+            places = at.to_numpy().copy()
+            places[first.to_numpy()] = np.arange(len(ids), len(ids) + len(texts))
+            ids += map(self.heads.__getitem__, values.take(first).to_pylist())
+            at = pa.array(places)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.large_binary()).take(at))
+        joined = pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()
+        # null: a chunk there can't stand alone
+        return [self.whole(texts[i].as_py()) if ids is None else ids for i, ids in enumerate(joined)]

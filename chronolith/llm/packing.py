@@ -80,7 +80,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text
         end, kind = encoder.pack([end_id]), "<u4" if encoder.wide else "<u2"
         for whole in batches:
             for batch in slices(whole, "text"):
-                packed = [p + end for p in encoder.encode(batch.column("text").to_pylist())]
+                packed = [p + end for p in encoder.encode(batch.column("text"))]
                 ids = [np.frombuffer(p, kind) for p in packed]
                 keys = curve_keys(ids)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(list(map(len, ids)), pa.int64()), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "hkey", "n", "tie", "ids"])

@@ -173,7 +173,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, id_
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                for doc, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+                for doc, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                     ids.append(doc)
                     tokens.append(packed + end)
                     held += len(packed) // item + 1
