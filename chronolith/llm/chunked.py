@@ -107,8 +107,11 @@ class ChunkEncoder:
         body = chunk[1:] if line else chunk
         mark = body[-1:] if body[-1:] in (",", ".") else ""
         core = body[: len(body) - len(mark)]
-        if core.isalpha() and (self.spaced or core.isascii()):
-            return (self.marks["\n"] if line else b"") + (self.heads if line else kept)[core] + self.marks[mark]
+        if core.isalpha():
+            # other letters may change under normalising, and then go with their mark
+            ids = (self.heads if line else kept)[core] if self.spaced or core.isascii() else self.letters_only(core, kept)
+            if ids is not None:
+                return (self.marks["\n"] if line else b"") + ids + self.marks[mark]
         if self.spaced and (not body or body != body.strip()):
             return None
         return self.whole(chunk if line else (" " if kept.lead else "") + chunk)
@@ -121,7 +124,7 @@ class ChunkEncoder:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.spaced else " "), " ")
         values, offsets = parts.flatten(), parts.offsets
         chunks = values.dictionary_encode()
-        ids = list(map(self.known.__getitem__, chunks.dictionary.to_pylist()))
+        ids = list(map(self.known.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False)))
         at = chunks.indices
         if self.spaced:  # a text's first chunk has no space before it
             first = offsets[:-1]
