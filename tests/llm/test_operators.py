@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,17 @@ def test_chunked_encoding(name, spaced):
     assert [np.frombuffer(b, "<u2").tolist() for b in mine.encode(odd)] == [e.ids for e in t.encode_batch(odd, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name,spaced", [(queries.BYTE_BPE, True), (queries.WORD_BPE, False)])
+def test_chunked_encoding_of_marks_and_cases(name, spaced, monkeypatch):
+    monkeypatch.setattr("chronolith.llm.chunked.MOST_CHUNKS", 50)  # forgets between calls
+    t, mine = library(name), ChunkEncoder(queries.vocabulary(name), spaced)
+    r = random.Random(5)
+    for _ in range(20):
+        texts = ["".join(r.choice([" ", " ", "\n", ",", ".", "Ab", "ab", "É", "é", "İ", "ſ", "K", "ΑΣ", "日", "x"]) for _ in range(r.randrange(25))) for _ in range(40)]
+        assert [np.frombuffer(b, "<u2").tolist() for b in mine.encode(pa.array(texts))] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert mine.encode(pa.array([], pa.string())) == []
+
+
 def test_token_store(docs, empty, tmp_path):
     t = library(queries.BYTE_BPE)
     rows = sorted(text_rows(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
