@@ -9,6 +9,12 @@ sides, so a pair meets once a segment), and the whole fingerprints are compared
 there.  The join works on distinct fingerprints: copies are one row, no pair of
 copies is made, and no link between different fingerprints is lost.
 
+A bucket in which a segment value of over CROWD fingerprints stands is divided: two
+fingerprints there differ by at most three bits in the other segment, so in one of
+its halves by at most one.  One side is keyed by both halves, the other by both and
+all their one-bit neighbours.  A fingerprint thus meets at most CROWD others in a
+plain bucket, and ``2**16`` in a divided one, whatever the number of documents.
+
 Links become components by alternating large and small stars over the link table.
 
 Words end at ``[\\x20\\x09-\\x0D]``; A-Z are lower-cased; a shingle is three words,
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut, slices, text_of
 
 WORDS, SEED, DISTANCE, SEGMENT = 3, 42, 3, 32
+#: Fingerprints with one segment value from which its buckets are divided.
+CROWD = 2048
 #: Hashes whose bits are counted at once.
 COUNT_AT_ONCE = 1 << 16
 
@@ -84,18 +92,46 @@ def _variants(fps: DataFrame, side: int) -> DataFrame:
     return fps.select("fp", F.explode(F.concat(*parts)).alias("key"))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def _crowded(fps: DataFrame, crowd: int) -> DataFrame:
+    """The keys of buckets in which a segment value of over ``crowd`` fingerprints stands."""
+    plain = [F.shiftrightunsigned("fp", s * SEGMENT).bitwiseAND((1 << SEGMENT) - 1).bitwiseOR(F.lit((s << 6 | SEGMENT) << SEGMENT)) for s in range(64 // SEGMENT)]
+    full = fps.select(F.explode(F.array(*plain)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    bare = F.col("key").bitwiseAND(F.lit(~(63 << SEGMENT)))
+    wild = [bare.bitwiseAND(F.lit(~(1 << b))).bitwiseOR(F.lit(b << SEGMENT)) for b in range(SEGMENT)]
+    return cut(full.select(F.explode(F.array("key", *wild)).alias("key")).distinct())
+
+
+def _divided(rows: DataFrame, neighbours: bool) -> DataFrame:
+    """fp and key: the key followed by each half of the other segment, and by the half's one-bit neighbours if asked."""
+    half = SEGMENT // 2
+    other = F.when(F.shiftright("key", SEGMENT + 6) == 0, F.shiftrightunsigned("fp", SEGMENT)).otherwise(F.col("fp"))
+    flips = [0, *(1 << b for b in range(half))] if neighbours else [0]
+    parts = [F.shiftrightunsigned(other, j * half).bitwiseAND((1 << half) - 1).bitwiseOR(F.lit(j << half)) for j in range(2)]
+    deep = [F.shiftleft("key", half + 1).bitwiseOR(part.bitwiseXOR(F.lit(flip))) for part in parts for flip in flips]
+    return rows.select("fp", F.explode(F.array(*deep)).alias("key"))
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """Pairs (u, v) of different fingerprints at ``distance`` bits or fewer; ``fps`` are distinct.
 
-    A pair can come once for each segment.  Two segments serve distances up to three.
+    A pair can come once for each segment, and in divided buckets for each half.
+    Two segments serve distances up to three.
     """
     if distance > 3:
         raise ValueError("two segments with one wildcard find distances of three at most")
-    a = _variants(fps, 0).select("key", F.col("fp").alias("u"))
-    b = _variants(fps, 1).select(F.col("key").alias("other"), F.col("fp").alias("v"))
-    exact = F.shiftright("key", SEGMENT).bitwiseAND(63) == SEGMENT
-    near = (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance) & (~exact | (F.col("u") < F.col("v")))
-    return a.hint("merge").join(b, (F.col("key") == F.col("other")) & near).select("u", "v")
+    # no hint: Spark broadcasts the crowded keys if their files are small, and else sorts by the key of the join that follows
+    crowded = _crowded(fps, crowd)
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
+
+    def met(sides: list[DataFrame], tag: int) -> DataFrame:
+        a = sides[0].select("key", F.col("fp").alias("u"))
+        b = sides[1].select(F.col("key").alias("other"), F.col("fp").alias("v"))
+        exact = F.shiftright("key", tag).bitwiseAND(63) == SEGMENT
+        return a.hint("merge").join(b, (F.col("key") == F.col("other")) & near & (~exact | (F.col("u") < F.col("v")))).select("u", "v")
+
+    plain = [_variants(fps, side).join(crowded, "key", "left_anti") for side in (0, 1)]
+    full = [_divided(_variants(fps, side).join(crowded, "key", "left_semi"), bool(side)) for side in (0, 1)]
+    return met(plain, SEGMENT).union(met(full, SEGMENT + SEGMENT // 2 + 1))
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

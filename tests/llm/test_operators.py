@@ -401,6 +401,23 @@ def test_links_and_chains(spark):
     assert roots == {s: min(g) for g in groups.values() for s in g if s != min(g)}
 
 
+def test_crowded_buckets_are_divided(spark):
+    r = random.Random(3)
+    fps = {r.getrandbits(64) for _ in range(100)}
+    for centre in list(fps)[:3]:  # many fingerprints share segments with each centre
+        for _ in range(120):
+            near = centre
+            for b in r.sample(range(64), r.randrange(0, 5)):
+                near ^= 1 << b
+            fps.add(near)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    table = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    expected = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
+    for crowd in (0, 5):
+        assert simhash._crowded(table, crowd).count() > 0
+        assert {tuple(sorted((p.u, p.v))) for p in simhash.links(table, crowd=crowd).collect()} == expected
+
+
 def test_licenses(docs, spark, empty):
     def brute(t):
         found = []
