@@ -4,7 +4,9 @@ Base kinds are patterns.  The method adds kind ``novel``: a token-like string
 close after a sensitive word, measured by its marginal compressed bytes: how many
 bytes zstandard adds for it when primed with a dictionary of code identifiers and
 with the text around it.  Ordinary words and identifiers, or repetitions of what
-stands near, cost little; keys and passwords cost about their own length.
+stands near, cost little; keys and passwords cost about their own length.  Every
+such string in reach of the word is measured; the reach goes on after a novel one.
+The lines of a private key block are measured as one and reported one by one.
 
 Null text counts as empty and has no spans.  Repeated rows give repeated results.
 Whole texts are scanned; offsets are code points, ends exclusive.
@@ -29,11 +31,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: A word that makes what follows it sensitive.
 CONTEXT = re.compile(
-    r"""(?i:authorization|bearer|credentials?|private[_ -]?key|access[_ -]?key|client[_ -]?secret|passphrase|passcode|signing[_ -]?key|connection[_ -]?string)"""
+    r"""(?i:authorization|bearer|credentials?|private[_ -]?key|access[_ -]?key|client[_ -]?secret|passphrase|passcode|signing[_ -]?key|connection[_ -]?string|password|passwd|secret|token|api[ _-]?key)"""
     r"""["']?\x20*[:=]?\x20*["']?""",
     re.ASCII,
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+#: After a private key's words: the end of the block's first line and its headers; then its lines, the last one of any length.
+BLOCK = re.compile(r"(?i:\x20BLOCK)?-----(?:\\r|\\n|\s)*(?:[A-Za-z][A-Za-z-]*:\x20[^\n]*\n\s*)*")
+LINE = re.compile(r"""((?:\\r|\\n|[\s"',;>#*|])*)([A-Za-z0-9+/=]+)(?=[\x20\t"',;]*(?:\r|\n|\\r|\\n|\Z|-----))""")
 #: Characters after the sensitive word in which a candidate must start; characters of context that prime the compressor.
 REACH, AROUND = 24, 256
 #: Share of a candidate's bytes that must be new.
@@ -42,6 +47,17 @@ IDENTIFIERS = (
     "Authorization Bearer credentials private_key access_key client_secret passphrase passcode signing_key "
     "connection_string example placeholder changeme your_api_key_here configuration environment variable "
     "username password function return import string number object default localhost application production "
+    "authentication information documentation implementation communication organization administration "
+    "international understanding development environmental responsibility characteristics representative "
+    "approximately particularly significantly unfortunately nevertheless notwithstanding circumstances "
+    "requirements relationship professional considerable opportunities performance transformation investigation "
+    "recommendation specification identification classification verification notification subscription description "
+    "management department government establishment measurement achievement announcement manufacturing engineering "
+    "programming processing networking infrastructure architecture technological traditional constitutional "
+    "distribution contribution construction instruction introduction interpretation presentation demonstration "
+    "effectiveness consciousness availability compatibility possibilities security certificate encryption decryption "
+    "repository dependencies controller service manager handler client server request response session database "
+    "knowledge experience difference conference reference independent comprehensive extraordinary straightforward "
     "development abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000 1111111111 xxxxxxxxxxxx"
 ).encode()
 
@@ -63,22 +79,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def key_lines(text: str, at: int) -> list[tuple[int, int]]:
+    """The lines of a private key block of which the words end at ``at``."""
+    found: list[tuple[int, int]] = []
+    if head := BLOCK.match(text, at):
+        at = head.end()
+        while m := LINE.match(text, at):
+            last = m.end() - m.start(2) < 12
+            if found and not re.search(r"[\r\n]|\\[rn]", m[1]) or last and not found:
+                break
+            found.append(m.span(2))
+            at = m.end()
+            if last:
+                break
+    return found
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Novel strings in sensitive context that no base span touches."""
-    found, past = [], 0
+    """Novel strings in sensitive context that no base span covers."""
+    found, past, measured = [], 0, set()
+
+    def new(start: int, end: int, word: str) -> bool:
+        return novelty(word, text[max(0, start - AROUND) : start] + text[end : end + AROUND]) >= NOVEL
+
+    def covered(start: int, end: int) -> bool:
+        return any(a <= start and end <= b for a, b, _ in taken)
+
     for m in CONTEXT.finditer(text):
-        c = CANDIDATE.search(text, max(m.end(), past), m.end() + REACH + 12)
-        if not c or c.start() > m.end() + REACH:
-            continue
-        c = CANDIDATE.match(text, c.start())
-        word = c[0]
-        mixed = any(x.isdigit() for x in word) and any(x.isalpha() for x in word)
-        if not mixed or any(a < c.end() and c.start() < b for a, b, _ in taken):
-            continue
-        around = text[max(0, m.start() - AROUND) : c.start()] + text[c.end() : c.end() + AROUND]
-        if novelty(word, around) >= NOVEL:
-            found.append((c.start(), c.end(), "novel"))
-            past = c.end()
+        if m.end() >= past and (lines := key_lines(text, m.end())):
+            if new(lines[0][0], lines[-1][1], "".join(text[a:b] for a, b in lines)):
+                found += [(a, b, "novel") for a, b in lines if not covered(a, b)]
+                past = lines[-1][1]
+                continue
+        at, limit = max(m.end(), past), m.end() + REACH
+        while (c := CANDIDATE.search(text, at, limit + 12)) and c.start() <= limit:
+            c = CANDIDATE.match(text, c.start())
+            at = c.end()
+            if c.start() in measured:
+                continue
+            measured.add(c.start())
+            if not covered(*c.span()) and new(*c.span(), c[0]):
+                found.append((*c.span(), "novel"))
+                past, limit = c.end(), c.end() + REACH
     return found
 
 
