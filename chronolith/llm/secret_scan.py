@@ -15,6 +15,7 @@ Whole texts are scanned; offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ BLOCK = re.compile(r"(?i:\x20BLOCK)?-----(?:\\r|\\n|\s)*(?:[A-Za-z][A-Za-z-]*:\x
 LINE = re.compile(r"""((?:\\r|\\n|[\s"',;>#*|])*)([A-Za-z0-9+/=]+)(?=[\x20\t"',;]*(?:\r|\n|\\r|\\n|\Z|-----))""")
 #: Characters after the sensitive word in which a candidate must start; characters of context that prime the compressor.
 REACH, AROUND = 24, 256
-#: Share of a candidate's bytes that must be new.
+#: Share of a candidate's cost that must be new.
 NOVEL = 0.8
 IDENTIFIERS = (
     "Authorization Bearer credentials private_key access_key client_secret passphrase passcode signing_key "
@@ -62,14 +63,30 @@ IDENTIFIERS = (
 ).encode()
 
 
-def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes of ``candidate`` after ``around``, by its bytes."""
+def cost(raw: bytes, before: bytes) -> int:
+    """Bytes zstandard adds for ``raw`` after ``before``."""
     import zstandard
 
-    raw = candidate.encode()
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     compress = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_dict_id=False).compress
-    return (len(compress(raw)) - len(compress(b""))) / len(raw)
+    return len(compress(raw)) - len(compress(b""))
+
+
+def novelty(candidate: str, around: str) -> float:
+    """Marginal compressed bytes of ``candidate`` after ``around``, by those a string without repetition would cost.
+
+    Up to 48 characters these are its own bytes.  zstandard codes longer strings
+    by the frequency of their characters, so there the same characters, shuffled,
+    are the measure; at least 0.4 of the bytes, or one repeated letter would count.
+    """
+    raw, before = candidate.encode(), IDENTIFIERS + b" " + around.encode("utf-8", "replace")
+    whole = len(raw)
+    if len(raw) > 48:
+        rng = random.Random(len(raw))
+        # near 64 bytes a chance match decides whether frequencies are used at all
+        shuffles = [bytes(rng.sample(raw, len(raw))) for _ in range(8 if len(raw) <= 128 else 1)]
+        whole = max(min(cost(x, before) for x in shuffles), 0.4 * len(raw))
+    return cost(raw, before) / whole
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
