@@ -7,6 +7,9 @@ with the text around it.  Ordinary words and identifiers, or repetitions of what
 stands near, cost little; keys and passwords cost about their own length.  Every
 such string in reach of the word is measured; the reach goes on after a novel one.
 The lines of a private key block are measured as one and reported one by one.
+Copies after another sensitive word do not make a string familiar, and a string found
+novel is reported wherever it stands again; a copy under the same sensitive word, or
+under none, counts as text around.
 
 Null text counts as empty and has no spans.  Repeated rows give repeated results.
 Whole texts are scanned; offsets are code points, ends exclusive.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -112,22 +116,46 @@ def key_lines(text: str, at: int) -> list[tuple[int, int]]:
     return found
 
 
+def surroundings(text: str, start: int, end: int, words: list[str], sensitive: list[int]) -> str:
+    """The text around, without copies of ``words`` that stand as near after another sensitive word (by their ends)."""
+    own = bisect_right(sensitive, start)
+    reach = max(REACH, start - sensitive[own - 1])
+    out = []
+    for lo, hi in ((max(0, start - AROUND), start), (end, min(len(text), end + AROUND))):
+        cuts = []
+        for word in words:
+            at = text.find(word, max(0, lo - len(word) + 1), hi + len(word) - 1)
+            while at >= 0:
+                k = bisect_right(sensitive, at)
+                if k and k != own and at - sensitive[k - 1] <= reach or len(words) > 1 and k != own:
+                    cuts.append((at, at + len(word)))
+                at = text.find(word, at + len(word), hi + len(word) - 1)
+        for a, b in sorted(cuts):
+            out.append(text[lo : max(a, lo)])
+            lo = max(lo, b)
+        out.append(text[lo:hi])
+    return "".join(out)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Novel strings in sensitive context that no base span covers."""
-    found, past, measured = [], 0, set()
+    """Novel strings in sensitive context, wherever they stand again, that no base span covers."""
+    matches = list(CONTEXT.finditer(text))
+    sensitive = [m.end() for m in matches]
+    found, past, measured = set(), 0, set()
 
-    def new(start: int, end: int, word: str) -> bool:
-        return novelty(word, text[max(0, start - AROUND) : start] + text[end : end + AROUND]) >= NOVEL
+    def new(spans: list[tuple[int, int]]) -> bool:
+        words = [text[a:b] for a, b in spans]
+        start, end = spans[0][0], spans[-1][1]
+        return novelty("".join(words), surroundings(text, start, end, words, sensitive)) >= NOVEL
 
     def covered(start: int, end: int) -> bool:
         return any(a <= start and end <= b for a, b, _ in taken)
 
-    for m in CONTEXT.finditer(text):
-        if m.end() >= past and (lines := key_lines(text, m.end())):
-            if new(lines[0][0], lines[-1][1], "".join(text[a:b] for a, b in lines)):
-                found += [(a, b, "novel") for a, b in lines if not covered(a, b)]
-                past = lines[-1][1]
-                continue
+    for m in matches:
+        if m.end() >= past and (lines := key_lines(text, m.end())) and new(lines):
+            found.update(lines)
+            past = lines[-1][1]
+            continue
         at, limit = max(m.end(), past), m.end() + REACH
         while (c := CANDIDATE.search(text, at, limit + 12)) and c.start() <= limit:
             c = CANDIDATE.match(text, c.start())
@@ -135,10 +163,15 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
             if c.start() in measured:
                 continue
             measured.add(c.start())
-            if not covered(*c.span()) and new(*c.span(), c[0]):
-                found.append((*c.span(), "novel"))
+            if not covered(*c.span()) and new([c.span()]):
+                found.add(c.span())
                 past, limit = c.end(), c.end() + REACH
-    return found
+    for word in {text[a:b] for a, b in found if b - a >= 12}:
+        at = text.find(word)
+        while at >= 0:
+            found.add((at, at + len(word)))
+            at = text.find(word, at + len(word))
+    return [(a, b, "novel") for a, b in sorted(found) if not covered(a, b)]
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:

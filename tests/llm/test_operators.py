@@ -112,6 +112,20 @@ def test_secret_length(letters):
         assert secret_scan.spans_of(f"Authorization: Bearer {dull} end") == []
 
 
+def test_secret_shown_twice():
+    rng = random.Random(6)
+    key, other = "q8Zr2Lw9Xk4Tn7Vb1Yc6", "Hd5Gm0Qs8Wj3Rf6Pz1Bv"
+    lines = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(64)) for _ in range(2)]
+    block = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    for line in (f"Authorization: Bearer {key}", f"access_key for configuration: {key}", f"passphrase: {other}{other[::-1]} {key}", block):
+        for n in (2, 5):
+            text = "\n".join([line] * n)
+            out = secret_scan.redacted(text)
+            assert not any(x in out for x in (key, other, *lines)) and out == "\n".join([secret_scan.redacted(line)] * n)
+    far = f"passphrase: {key}\n" + "plain words " * 40 + key
+    assert key not in secret_scan.redacted(far)
+
+
 def test_secret_redaction(docs, empty):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
