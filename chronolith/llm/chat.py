@@ -5,10 +5,12 @@ becomes ``\\b`` and the ``<`` of ``<turn`` or ``</turn`` becomes ``\\l`` (in rol
 ``>`` ``\\g`` and newline ``\\n``), so control strings never occur there and the
 escape can be undone.
 
-Prefix sums of turn tokens place each turn in a window, whole turns only; empty
-window numbers close up.  A conversation's leading system turn heads every window;
-the last turns of the window before, as far as ``history`` tokens reach, are
-repeated as context.  The loss mask covers the texts of assistant turns where they
+Prefix sums of turn tokens place each turn in a slot, whole turns only; a turn that
+begins in the slot before takes a window of its own where the slot would else hold
+more than its size.  Empty window numbers close up.  A conversation's leading system
+turn heads every window; the last turns of the window before, as far as ``history``
+tokens and the budget reach, are repeated as context.  Head, context and new turns
+keep the budget, unless head and a single turn alone are larger.  The loss mask covers the texts of assistant turns where they
 are new, never a repeated one.
 
 Null texts and roles count as empty; rows go by turn (null first), then role, then
@@ -48,8 +50,13 @@ def escaped_role(role: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """A turn's tokens, estimated as a quarter of its characters, and its markers'."""
-    return (F.ceil(F.length(text) / 4) + OVERHEAD).cast("long")
+    """A turn's tokens, estimated, and its markers'.
+
+    A quarter of the Latin letters and spaces of ASCII; of everything else its bytes,
+    of which byte pairs make no more tokens.
+    """
+    rest = F.octet_length(F.regexp_replace(text, "[A-Za-z ]+", ""))
+    return (F.ceil((F.octet_length(text) - rest) / 4) + rest + OVERHEAD).cast("long")
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=tokens_of) -> DataFrame:
@@ -69,11 +76,19 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     rows = rows.withColumns({"end": F.sum(F.when(F.col("system"), 0).otherwise(F.col("n"))).over(sums), "head": F.coalesce(F.max(F.when(F.col("system"), F.col("n"))).over(sums), F.lit(0))})
     stride = F.greatest(F.lit(1), F.lit(budget - history) - F.col("head"))
     rows = rows.withColumn("slot", F.floor(F.greatest(F.col("end") - 1, F.lit(0)) / stride))
-    rows = rows.withColumn("window", F.dense_rank().over(whole.orderBy("slot")))
+    fresh = F.when(F.col("system"), 0).otherwise(F.col("n"))
+    rows = rows.withColumn("slot_sum", F.sum(fresh).over(Window.partitionBy("conv_id", "slot")))
+    alone = ~F.col("system") & (F.col("end") - F.col("n") < F.col("slot") * stride) & (F.col("slot_sum") > stride)
+    rows = rows.withColumn("part", F.when(alone, 0).otherwise(1))
+    rows = rows.withColumn("window", F.dense_rank().over(whole.orderBy("slot", "part")))
+    # what the window after holds, its head and new turns, bounds what may be repeated there
+    rows = rows.withColumn("window_sum", F.sum(fresh).over(Window.partitionBy("conv_id", "window")))
     rows = rows.withColumns({"last": F.max("window").over(whole), "window_end": F.max("end").over(Window.partitionBy("conv_id", "window"))})
+    next_sum = F.max("window_sum").over(whole.orderBy("window").rangeBetween(1, 1))
+    rows = rows.withColumn("room", F.least(F.lit(history), budget - F.col("head") - F.coalesce(next_sum, F.lit(0))))
     place = lambda w, kind: F.struct(w.cast("int").alias("window"), F.lit(kind).alias("kind"))
     later = F.when(F.col("system") & (F.col("last") > 1), F.transform(F.sequence(F.lit(2), F.greatest(F.col("last"), F.lit(2))), lambda w: place(w, 0))).otherwise(F.array().cast("array<struct<window:int,kind:int>>"))
-    near = ~F.col("system") & (F.col("window") < F.col("last")) & (F.col("window_end") - F.col("end") + F.col("n") <= history)
+    near = ~F.col("system") & (F.col("window") < F.col("last")) & (F.col("window_end") - F.col("end") + F.col("n") <= F.col("room"))
     again = F.when(near, F.array(place(F.col("window") + 1, 1))).otherwise(F.array().cast("array<struct<window:int,kind:int>>"))
     placed = rows.withColumn("at", F.explode(F.concat(F.array(place(F.col("window"), 2)), later, again)))
     head, body = F.concat(F.lit(OPEN), escaped_role(F.col("role")), F.lit(END)), escaped(F.col("text"))

@@ -355,6 +355,23 @@ def test_chat(spark):
     assert chat.digests(chat.windows(table.limit(0))).count() == 0
 
 
+def test_chat_budget(spark):
+    rng = random.Random(8)
+    sizes = {1: [2400] * 12, 2: [rng.randrange(1, 3000) for _ in range(200)], 3: [3500] * 4 + [100] * 9 + [3500], 4: [rng.randrange(1, 400) for _ in range(300)], 5: [9000, 10, 2400, 2400]}
+    rows = [(c, i, "user" if i % 2 else "assistant", "x" * n) for c, ns in sizes.items() for i, n in enumerate(ns)]
+    rows += [(c, -1, "system", "s" * 400) for c in (2, 3)]
+    rows += [(6, i, "user", t) for i, t in enumerate(["漢" * 300, "#$%^" * 100, "漢字" * 100] * 5)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    seen = Counter()
+    for r in chat.windows(table).collect():
+        turns = [t.split(">\n", 1) for t in r.formatted.split("</turn>\n")[:-1]]
+        tokens = [chat.OVERHEAD + (-(-len(x) // 4) if x.isascii() and x.isalpha() else len(x.encode())) for _, x in turns]
+        new = len(turns) - r.n_context
+        assert sum(tokens) <= chat.BUDGET or new == 1 and r.n_context == (turns[0][0] == "<turn system"), (r.conv_id, r.window, tokens)
+        seen[r.conv_id] += new
+    assert seen == Counter(r[0] for r in rows)
+
+
 def brute_exact(rows):
     groups = {}
     for i, t in rows:
