@@ -1,7 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams, by DataFrame functions only.
 
-A text is compared segment by segment: its lines, sentences, paragraphs and the
-whole.  Segment and template are lower-cased sets of word bigrams.  With Dice at
+A text is compared segment by segment: its lines, sentences, paragraphs, the whole,
+and runs of words as long as a template, laid where an anchor word (below) stands as
+in the template; so line ends, comment marks and text around do not matter.  Segment and template are lower-cased sets of word bigrams.  With Dice at
 least ``t``, sizes a and b obey ``a >= b*t/(2-t)`` and ``a <= b*(2-t)/t``; templates
 outside those bounds are pruned before any set is intersected.  Likewise an
 overlap of at least ``b*t/(2-t)`` bigrams is needed, so of any set of a template's
@@ -10,7 +11,8 @@ stand in such a set, and a text with no anchor word at all is passed over.  Neit
 bound loses a match.
 
 Null and empty texts, and segments of fewer than two words, match nothing.
-Repeated segments of a text count once; equal scores go to the first name by
+Runs overlap, so of runs only a template's best match counts, once and where no
+other segment matches it as well.  Repeated segments of a text count once; equal scores go to the first name by
 alphabet.  Repeated rows give repeated results.
 """
 
@@ -59,22 +61,33 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def template_anchors(text: str, threshold: float = THRESHOLD) -> list[str]:
+    """A template's longest words until the bigrams holding one of them outnumber those that a match may lack."""
+    grams = [g.split(" ") for g in template_bigrams(text)]
+    spare = len(grams) - len(grams) * threshold / (2 - threshold)
+    chosen: list[str] = []
+    for word in [None, *sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w))]:
+        if word:
+            chosen.append(word)
+        if sum(any(w in chosen for w in g) for g in grams) > spare + 1e-9:
+            break
+    return chosen
+
+
 def anchors(templates: dict[str, str], threshold: float = THRESHOLD) -> list[str]:
-    """Words of which a text must have one to match any template.
+    """Words of which a text must have one to match any template."""
+    return sorted({word for text in templates.values() for word in template_anchors(text, threshold)})
 
-    For each template, its longest words until the bigrams holding one of them
-    outnumber those that a match may lack.
-    """
-    chosen: set[str] = set()
+
+def places(templates: dict[str, str], threshold: float = THRESHOLD) -> dict[str, list[tuple[int, int]]]:
+    """For each anchor word where it stands in its templates, in words from their start, and their lengths."""
+    found: dict[str, set[tuple[int, int]]] = {}
     for text in templates.values():
-        grams = [g.split(" ") for g in template_bigrams(text)]
-        spare = len(grams) - len(grams) * threshold / (2 - threshold)
-        for word in [None, *sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w))]:
-            if word:
-                chosen.add(word)
-            if sum(any(w in chosen for w in g) for g in grams) > spare + 1e-9:
-                break
-    return sorted(chosen)
+        words, chosen = template_words(text), template_anchors(text, threshold)
+        for i, word in enumerate(words):
+            if word in chosen:
+                found.setdefault(word, set()).add((i, len(words)))
+    return {word: sorted(p) for word, p in sorted(found.items())}
 
 
 def segments(text: Column) -> Column:
@@ -83,28 +96,63 @@ def segments(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, sentences, paragraphs, F.array(text)))
 
 
-def bigrams(segment: Column) -> Column:
-    words = F.filter(F.split(F.lower(segment), WORD_BREAK), lambda w: w != "")
+def words_of(segment: Column) -> Column:
+    return F.filter(F.split(F.lower(segment), WORD_BREAK), lambda w: w != "")
+
+
+def bigrams_of(words: Column) -> Column:
     # one word has no bigram; the lengths are never below zero
     left = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
     right = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
     return F.array_distinct(F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def bigrams(segment: Column) -> Column:
+    return bigrams_of(words_of(segment))
+
+
+def runs(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
+    """Bigrams of the text's runs of words laid by anchor words."""
+    none = F.array().cast("array<struct<start:int,n:int>>")
+    known = places(templates, threshold)
+    if not known:
+        return F.array().cast("array<array<string>>")
+    table = F.create_map(*[c for word, p in known.items() for c in (F.lit(word), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in p]))])
+
+    def laid(word: Column, at: Column) -> Column:
+        # a run cut by the text's start is so much shorter
+        start = lambda p: F.struct(F.greatest(at - p["i"], F.lit(0)).alias("start"), (p["n"] + F.least(at - p["i"], F.lit(0))).alias("n"))
+        return F.when(word.isin(*known), F.transform(F.element_at(table, word), start)).otherwise(none)
+
+    def of(words: Column) -> Column:
+        spans = F.array_distinct(F.flatten(F.transform(words, laid)))
+        return F.transform(spans, lambda s: bigrams_of(F.slice(words, s["start"] + 1, s["n"])))
+
+    # the words stand in an array of one, so that they are split once
+    return F.flatten(F.transform(F.array(words_of(text)), of))
+
+
 def matches(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """The text's matching segments: array of (dice, name), the best template of each."""
     grams = {name: template_bigrams(t) for name, t in sorted(templates.items())}
     up = (2 - threshold) / threshold
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n")) for name, g in grams.items()])
     least, most = min(map(len, grams.values())) / up, max(map(len, grams.values())) * up
-    sets = F.filter(F.transform(segments(text), bigrams), lambda s: (F.size(s) >= least) & (F.size(s) <= most))
+    sized = lambda sets: F.filter(sets, lambda s: (F.size(s) >= least) & (F.size(s) <= most))
 
     def best(s: Column) -> Column:
         fit = F.filter(known, lambda k: (F.size(s) * up >= k["n"]) & (F.size(s) <= k["n"] * up))
         scored = F.transform(fit, lambda k: F.struct((-2.0 * F.size(F.array_intersect(s, k["grams"])) / (F.size(s) + k["n"])).alias("minus"), k["name"].alias("name")))
         return F.array_min(scored)
 
-    found = F.filter(F.transform(sets, best), lambda b: b["minus"] <= -threshold + 1e-12)
+    enough = lambda sets: F.filter(F.transform(sized(sets), best), lambda b: b["minus"] <= -threshold + 1e-12)
+
+    def merged(both: Column) -> Column:
+        better = lambda r: ~F.exists(both["s"], lambda o: (o["name"] == r["name"]) & (o["minus"] <= r["minus"])) & ~F.exists(both["r"], lambda o: (o["name"] == r["name"]) & (o["minus"] < r["minus"]))
+        return F.concat(both["s"], F.array_distinct(F.filter(both["r"], better)))
+
+    of_segments = enough(F.transform(segments(text), bigrams))
+    found = F.flatten(F.transform(F.array(F.struct(of_segments.alias("s"), enough(runs(text, templates, threshold)).alias("r"))), merged))
     lower = F.lower(text)
     hint = None
     for word in anchors(templates, threshold):

@@ -509,6 +509,25 @@ def test_licenses(docs, spark, empty):
     assert got.where("license = 'MIT terms'").count() == 2
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    before, after = "Copyright 2020 Some Body and others", "Words that come after it in the same block"
+    rows, names = [], list(licenses.TEMPLATES)
+    for i, t in enumerate(licenses.TEMPLATES.values()):
+        for k, (mark, width) in enumerate((("# ", 72), (" * ", 40), ("", 72), ("// ", 30))):
+            lines = textwrap.wrap(f"{before} {t} {after}", width)
+            rows.append((4 * i + k, "\n".join([f"{mark}{x}" for x in ["Intro words here and some more of them", "", *lines]])))
+    rows.append((1000, "ordinary words about a license, the software and its distribution " * 3))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, name in enumerate(names):
+        for k in range(4):
+            assert got[4 * i + k].dice == 1.0 and name in got[4 * i + k].licenses.split(","), (name, k)
+    assert got[1000].n_matches == 0
+    one = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.\nother line of plain text")], "doc_id bigint, text string")).collect()[0]
+    assert (one.n_matches, one.licenses) == (1, "MIT notice")
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
