@@ -321,6 +321,12 @@ def history_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("k", F.row_number().over(first)).where("k <= 3").drop("k")
 
 
+def model_estimators() -> dict[str, object]:
+    """Two of the candidates, as the grid makes them."""
+    grid = candidates("is_hit")
+    return {name: grid[name] for name in ("lr_0.01_0.0", "gbt_3_20")}
+
+
 @query
 def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small logistic regression and tree ensemble on the feature frame; one row each."""
@@ -330,9 +336,7 @@ def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, test = evaluate.temporal_split(frame, **SPLIT)
     train, _ = evaluate.with_balanced_class_weights(train, label_col="is_hit")
     out = []
-    for name in ("lr_0.01_0.0", "gbt_3_20"):
-        estimator = candidates("is_hit", max_iter=20, trees=(5,)) if name.startswith("gbt") else candidates("is_hit", max_iter=20)
-        estimator = estimator.get(name) or estimator["gbt_3_5"]
+    for name, estimator in model_estimators().items():
         pipeline = feature_pipeline(columns, label_col="is_hit")
         model = pipeline.setStages([*pipeline.getStages(), estimator]).fit(train)
         m = evaluate.evaluate_predictions(labels.with_positive_score(model.transform(test)), label_col="is_hit")

@@ -44,3 +44,9 @@ def test_query(spark, duck, name):
 
 def test_only_the_model_has_no_sql():
     assert set(queries.queries()) - set(oracle.oracle_sql()) == {"model_candidates"}
+
+
+def test_models_are_what_their_labels_name(spark):
+    models = queries.model_estimators()
+    assert models["lr_0.01_0.0"].getMaxIter() == 100
+    assert (models["gbt_3_20"].getMaxDepth(), models["gbt_3_20"].getMaxIter()) == (3, 20)
