@@ -4,11 +4,12 @@ A text is compared segment by segment: its lines, sentences, paragraphs, the who
 and runs of words as long as a template, laid where an anchor word (below) stands as
 in the template; so line ends, comment marks and text around do not matter.  Segment and template are lower-cased sets of word bigrams.  With Dice at
 least ``t``, sizes a and b obey ``a >= b*t/(2-t)`` and ``a <= b*(2-t)/t``; templates
-outside those bounds are pruned before any set is intersected.  Likewise an
+outside those bounds are pruned before any set is intersected, and a segment of
+more distinct words than that allows before its bigrams are made.  Likewise an
 overlap of at least ``b*t/(2-t)`` bigrams is needed, so of any set of a template's
-bigrams larger than the rest one must occur: each template has anchor words that
-stand in such a set, and a text with no anchor word at all is passed over.  Neither
-bound loses a match.
+bigrams larger than the rest one must occur.  The longest bigrams of each template
+are such a set, its marks: texts, segments and runs without a mark are passed over.
+Anchor words stand in a set of that kind too.  None of these bounds loses a match.
 
 Null and empty texts, and segments of fewer than two words, match nothing.
 Runs overlap, so of runs only a template's best match counts, once and where no
@@ -74,9 +75,32 @@ def template_anchors(text: str, threshold: float = THRESHOLD) -> list[str]:
     return chosen
 
 
-def anchors(templates: dict[str, str], threshold: float = THRESHOLD) -> list[str]:
-    """Words of which a text must have one to match any template."""
-    return sorted({word for text in templates.values() for word in template_anchors(text, threshold)})
+def marks(templates: dict[str, str], threshold: float = THRESHOLD) -> list[str]:
+    """Bigrams of which a segment must have one to match any template."""
+    found: set[str] = set()
+    for text in templates.values():
+        grams = sorted(template_bigrams(text), key=lambda g: (-len(g), g))
+        spare = len(grams) - len(grams) * threshold / (2 - threshold)
+        found.update(grams[: int(spare + 1e-9) + 1])
+    return sorted(found)
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of the words (a space in them is a word break) that branches by letters, so most positions fail at the first."""
+    found: dict[str, list[str]] = {}
+    for word in filter(None, words):
+        found.setdefault(word[0], []).append(word[1:])
+    branches = [(WORD_BREAK if c == " " else re.escape(c)) + any_of(rest) for c, rest in sorted(found.items())]
+    if not branches:
+        return ""
+    if len(branches) == 1 and "" not in words:
+        return branches[0]
+    return f"(?:{'|'.join(branches)})" + ("?" if "" in words else "")
+
+
+def mark_pattern(templates: dict[str, str], threshold: float = THRESHOLD) -> str:
+    """Finds every mark in lower-cased text; a second word that only begins like a mark's is found too."""
+    return r"(?<![\p{L}\p{N}])" + any_of(marks(templates, threshold))
 
 
 def places(templates: dict[str, str], threshold: float = THRESHOLD) -> dict[str, list[tuple[int, int]]]:
@@ -107,10 +131,6 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def bigrams(segment: Column) -> Column:
-    return bigrams_of(words_of(segment))
-
-
 def runs(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
     """Bigrams of the text's runs of words laid by anchor words."""
     none = F.array().cast("array<struct<start:int,n:int>>")
@@ -124,9 +144,16 @@ def runs(text: Column, templates: dict[str, str], threshold: float = THRESHOLD)
         start = lambda p: F.struct(F.greatest(at - p["i"], F.lit(0)).alias("start"), (p["n"] + F.least(at - p["i"], F.lit(0))).alias("n"))
         return F.when(word.isin(*known), F.transform(F.element_at(table, word), start)).otherwise(none)
 
+    wanted = marks(templates, threshold)
+
     def of(words: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0)))
+        marked = F.filter(pairs, lambda i: F.concat(words[i], F.lit(" "), F.get(words, i + 1)).isin(*wanted))
         spans = F.array_distinct(F.flatten(F.transform(words, laid)))
-        return F.transform(spans, lambda s: bigrams_of(F.slice(words, s["start"] + 1, s["n"])))
+        near = lambda both: F.filter(both["spans"], lambda s: F.exists(both["marked"], lambda i: (i >= s["start"]) & (i <= s["start"] + s["n"] - 2)))
+        # the struct stands in an array of one, so that its arrays are made once
+        kept = F.flatten(F.transform(F.array(F.struct(spans.alias("spans"), marked.alias("marked"))), near))
+        return F.transform(kept, lambda s: bigrams_of(F.slice(words, s["start"] + 1, s["n"])))
 
     # the words stand in an array of one, so that they are split once
     return F.flatten(F.transform(F.array(words_of(text)), of))
@@ -134,7 +161,10 @@ def runs(text: Column, templates: dict[str, str], threshold: float = THRESHOLD)
 
 def matches(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """The text's matching segments: array of (dice, name), the best template of each."""
-    grams = {name: template_bigrams(t) for name, t in sorted(templates.items())}
+    none = F.array().cast("array<struct<minus:double,name:string>>")
+    grams = {name: g for name, t in sorted(templates.items()) if (g := template_bigrams(t))}
+    if not grams:
+        return none
     up = (2 - threshold) / threshold
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n")) for name, g in grams.items()])
     least, most = min(map(len, grams.values())) / up, max(map(len, grams.values())) * up
@@ -151,14 +181,12 @@ def matches(text: Column, templates: dict[str, str] = TEMPLATES, threshold: floa
         better = lambda r: ~F.exists(both["s"], lambda o: (o["name"] == r["name"]) & (o["minus"] <= r["minus"])) & ~F.exists(both["r"], lambda o: (o["name"] == r["name"]) & (o["minus"] < r["minus"]))
         return F.concat(both["s"], F.array_distinct(F.filter(both["r"], better)))
 
-    of_segments = enough(F.transform(segments(text), bigrams))
+    hint = mark_pattern(templates, threshold)
+    worded = F.transform(F.filter(segments(text), lambda s: F.lower(s).rlike(hint)), words_of)
+    fitting = F.filter(worded, lambda w: (F.size(w) > least) & (F.size(F.array_distinct(w)) - 1 <= most))
+    of_segments = enough(F.transform(fitting, bigrams_of))
     found = F.flatten(F.transform(F.array(F.struct(of_segments.alias("s"), enough(runs(text, templates, threshold)).alias("r"))), merged))
-    lower = F.lower(text)
-    hint = None
-    for word in anchors(templates, threshold):
-        has = F.contains(lower, F.lit(word))
-        hint = has if hint is None else hint | has
-    return F.when(hint, found).otherwise(F.array().cast("array<struct<minus:double,name:string>>"))
+    return F.when(F.lower(text).rlike(hint), found).otherwise(none)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
