@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
+
 
 def temporal_split(df: DataFrame, *, train_end: int, validation_end: int, test_end: int, year_col: str = "start_year", min_year: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three disjoint frames by year; NULL years and years beyond ``test_end`` are in none."""
@@ -42,12 +44,12 @@ def confusion(label: Column, prediction: Column) -> list[Column]:
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
-    """Precision, recall, F1, accuracy and prevalence of tp, fp, fn, tn; NULL where undefined."""
+    """Precision, recall, F1, accuracy and prevalence of tp, fp, fn, tn; NULL where undefined, F1 also without a true positive."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counts.withColumns({
         "precision": F.try_divide(tp, tp + fp),
         "recall": F.try_divide(tp, tp + fn),
-        "positive_f1": F.try_divide(2 * tp, 2 * tp + fp + fn),
+        "positive_f1": F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)),
         "accuracy": F.try_divide(tp + tn, tp + fp + fn + tn),
         "prevalence": F.try_divide(tp + fn, tp + fp + fn + tn),
     })
@@ -58,7 +60,7 @@ def positive_class_metrics(*, tp: int, fp: int, fn: int, tn: int) -> dict:
     n = tp + fp + fn + tn
     return {
         "tp": tp, "fp": fp, "fn": fn, "tn": tn,
-        "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "positive_f1": ratio(2 * tp, 2 * tp + fp + fn),
+        "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "positive_f1": 2 * tp / (2 * tp + fp + fn) if tp else None,
         "accuracy": ratio(tp + tn, n), "prevalence": ratio(tp + fn, n),
     }
 
@@ -73,8 +75,8 @@ def evaluate_predictions(predictions: DataFrame, *, label_col: str, prediction_c
 def roc_auc(predictions: DataFrame, *, label_col: str, score_col: str = "positive_score") -> DataFrame:
     """ROC area as the Mann-Whitney statistic with mid-ranks, from sums by distinct score."""
     by = predictions.groupBy(score_col).agg(F.count_if(F.col(label_col) == 1).alias("p"), F.count_if(F.col(label_col) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("u")).agg(F.try_divide(F.sum("u"), (F.sum("p") * F.sum("n")).cast("double")).alias("roc_auc"))
+    ranked = running(by, [score_col], ["n"], predictions.count())
+    return ranked.select("p", "n", (F.col("p") * (F.col("before_n") + F.col("n") / 2)).alias("u")).agg(F.try_divide(F.sum("u"), (F.sum("p") * F.sum("n")).cast("double")).alias("roc_auc"))
 
 
 def checked(thresholds: Iterable[float]) -> list[float]:
@@ -108,8 +110,8 @@ def threshold_sweep(predictions: DataFrame, **kwargs) -> list[dict]:
 
 
 def select_threshold(results: Sequence[dict], *, minimum_recall: float | None = None) -> dict:
-    """The best by F1, then recall, precision and threshold, of those that reach the recall."""
-    fit = [r for r in results if minimum_recall is None or (r["recall"] or 0) >= minimum_recall]
+    """The best by F1, then recall, precision and threshold, of those that have an F1 and reach the recall."""
+    fit = [r for r in results if r["positive_f1"] is not None and (minimum_recall is None or (r["recall"] or 0) >= minimum_recall)]
     if not fit:
         raise ValueError("no threshold qualifies")
     return max(fit, key=lambda r: tuple(r[k] or 0 for k in ("positive_f1", "recall", "precision", "threshold")))

@@ -17,6 +17,8 @@ from .evaluate import evaluate_predictions, partition_summary, select_threshold,
 HIT_COHORT = {"min_year": 1960, "train_end": 2013, "validation_end": 2018, "test_end": 2023}
 AWARDS_COHORT = {"min_year": 1960, "train_end": 2007, "validation_end": 2013, "test_end": 2019}
 HIT_THRESHOLDS = tuple(round(0.05 + 0.025 * i, 3) for i in range(37))
+#: Thresholds of the ROC and precision-recall curves of the test years.
+CURVE = tuple(i / 100 for i in range(101))
 AWARDS_THRESHOLDS = tuple(round(0.01 + 0.02 * i, 3) for i in range(38))
 
 
@@ -73,7 +75,8 @@ def train(frame: DataFrame, feature_cols: Sequence[str], *, label_col: str, coho
         model = models[chosen["candidate_id"]]
         sweep = threshold_sweep(with_positive_score(model.transform(parts["validation"])), label_col=label_col, thresholds=thresholds)
         locked = select_threshold(sweep)
-        tested = apply_threshold(with_positive_score(model.transform(parts["test"])).drop("prediction"), threshold=locked["threshold"])
+        scored = with_positive_score(model.transform(parts["test"])).drop("prediction")
+        tested = apply_threshold(scored, threshold=locked["threshold"])
         return model, {
             "schema_version": 2,
             "label": label_col,
@@ -84,6 +87,7 @@ def train(frame: DataFrame, feature_cols: Sequence[str], *, label_col: str, coho
             "candidate_results": results,
             "selected_candidate": chosen,
             "threshold_selection": {"source": "validation", "selected": locked, "sweep": sweep},
+            "test_curve": threshold_sweep(scored, label_col=label_col, thresholds=CURVE),
             "test_metrics": evaluate_predictions(tested, label_col=label_col),
             "feature_importance": importance(model, feature_cols),
         }

@@ -4,36 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import bucket, with_decade
 from ..functions.labels import hit
 from .explode import explode_tags
+from .ranks import quantiles, running
 
 
-def quantile(column: str, p: float, exact: bool) -> Column:
-    """percentile_approx, or the exact discrete percentile."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{column}`)") if exact else F.percentile_approx(column, p)
+def with_medians(rows: DataFrame, keys: Sequence[str], out: list[Column], medians: dict[str, str], exact: bool) -> DataFrame:
+    """The groups' aggregates and medians (name -> column): by percentile_approx, or exact by ranks."""
+    if not exact:
+        return rows.groupBy(*keys).agg(*out, *[F.percentile_approx(column, 0.5).alias(name) for name, column in medians.items()])
+    found = rows.groupBy(*keys).agg(*out)
+    for name, column in medians.items():
+        found = found.join(quantiles(rows, keys, column, 0.5, name), [*keys], "left")
+    return found
 
 
 def genre_decade_stats(movies: DataFrame, exact: bool = False) -> DataFrame:
     """Films, median rating and votes of each decade and genre."""
     rows = explode_tags(with_decade(movies)).where(F.col("decade").isNotNull())
-    out = rows.groupBy("decade", "genre").agg(F.count(F.lit(1)).alias("film_count"), quantile("average_rating", 0.5, exact).alias("median_rating"), F.sum("num_votes").alias("total_votes"), quantile("num_votes", 0.5, exact).alias("median_votes"))
-    return out.orderBy("decade", F.desc("film_count"))
+    out = [F.count(F.lit(1)).alias("film_count"), F.sum("num_votes").alias("total_votes")]
+    return with_medians(rows, ["decade", "genre"], out, {"median_rating": "average_rating", "median_votes": "num_votes"}, exact).orderBy("decade", F.desc("film_count"))
 
 
 def runtime_bucket_stats(movies: DataFrame, *, bucket_minutes: int = 15, min_runtime: int = 40, max_runtime: int = 240, min_films: int = 50, exact: bool = False) -> DataFrame:
     """A fixed-width profile of runtimes; buckets with few films go."""
     rows = movies.where(F.col("runtime_minutes").between(min_runtime, max_runtime)).withColumn("runtime_bucket", bucket(F.col("runtime_minutes"), bucket_minutes))
-    out = rows.groupBy("runtime_bucket").agg(F.count(F.lit(1)).alias("film_count"), quantile("average_rating", 0.5, exact).alias("median_rating"), F.avg("average_rating").alias("mean_rating"), F.sum("num_votes").alias("total_votes"))
-    return out.where(F.col("film_count") >= min_films).orderBy("runtime_bucket")
+    out = [F.count(F.lit(1)).alias("film_count"), F.avg("average_rating").alias("mean_rating"), F.sum("num_votes").alias("total_votes")]
+    return with_medians(rows, ["runtime_bucket"], out, {"median_rating": "average_rating"}, exact).where(F.col("film_count") >= min_films).orderBy("runtime_bucket")
 
 
 def rating_anomalies(movies: DataFrame, *, high_rating: float = 8.0, vote_percentile: float = 0.10, exact: bool = False) -> DataFrame:
     """Well rated films with few votes.  The cut is one row of the same plan; an empty table's cut is 0."""
-    cut = movies.agg(F.coalesce(quantile("num_votes", vote_percentile, exact).cast("double"), F.lit(0.0)).alias("vote_cut_used"))
+    one = quantiles(movies, [], "num_votes", vote_percentile, "q") if exact else movies.agg(F.percentile_approx("num_votes", vote_percentile).cast("double").alias("q"))
+    cut = one.agg(F.coalesce(F.max("q"), F.lit(0.0)).alias("vote_cut_used"))
     rows = movies.join(F.broadcast(cut), F.col("num_votes") <= F.col("vote_cut_used")).where(F.col("average_rating") >= high_rating)
     names = ("tconst", "primary_title", "start_year", "average_rating", "num_votes", "runtime_minutes", "vote_cut_used")
     return rows.select(*names).orderBy(F.desc("average_rating"), "num_votes")
@@ -58,7 +65,7 @@ def signal_lift(labeled: DataFrame, *, signal_col: str, label_col: str = "is_hit
     """Outcome rate and lift over the base rate in equal-count bands of a signal.
 
     Bands need ranks.  Ranks come from counts: rows are summed by signal value (and
-    tie break), running sums over the distinct values give each value's range of
+    tie break), running sums by ranges of the values give each value's range of
     ranks, and ``ntile`` of a rank is arithmetic.  Without a tie break, rows of equal
     signal that straddle a band edge share their mean outcome.
     """
@@ -67,11 +74,10 @@ def signal_lift(labeled: DataFrame, *, signal_col: str, label_col: str = "is_hit
     rows = labeled.where(F.col(signal_col).isNotNull() & F.col(label_col).isNotNull())
     keys = [signal_col, *tie_break]
     values = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("double")).alias("hits"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.agg(F.count(F.lit(1)).alias("total"), F.avg(F.col(label_col).cast("double")).alias("base"))
-    placed = values.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(base))
-    small, extra = F.floor(F.col("total") / buckets), F.col("total") % buckets
-    edge = lambda band: (band - 1) * small + F.least(band - 1, extra)  # noqa: E731  ranks before a band
+    total, base = rows.agg(F.count(F.lit(1)), F.avg(F.col(label_col).cast("double"))).first()
+    placed = running(values, keys, ["n"], total).withColumnRenamed("before_n", "first").withColumn("base", F.lit(base).cast("double"))
+    small, extra = total // buckets, total % buckets
+    edge = lambda band: (band - 1) * small + F.least(band - 1, F.lit(extra))  # noqa: E731  ranks before a band
     bands = placed.withColumn("signal_band", F.explode(F.sequence(F.lit(1), F.lit(buckets))))
     low, high = edge(F.col("signal_band")), edge(F.col("signal_band") + 1)
     taken = F.least(F.col("first") + F.col("n"), high) - F.greatest(F.col("first"), low)
@@ -84,6 +90,11 @@ def signal_lift(labeled: DataFrame, *, signal_col: str, label_col: str = "is_hit
     return out.withColumn("lift_vs_eligible", F.try_divide("outcome_rate", F.nullif("base", F.lit(0.0)))).drop("base").orderBy("signal_band")
 
 
+def seeded_sample(df: DataFrame, columns: Sequence[str], fraction: float, seed: int) -> DataFrame:
+    """About a share of the rows, the same for the same partitions and seed, without replacement."""
+    return df.select(*columns).sample(False, fraction, seed)
+
+
 def label_rate(df: DataFrame, label_col: str = "is_hit") -> DataFrame:
     return df.agg(F.avg(label_col).alias("base_rate"))
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FILM, Columns
 
-#: Rows of a side that may be broadcast; a larger one joins by shuffle.
-BROADCAST_ROWS = 2_000_000
+# The award columns that default to 0 and to false.
 AWARD_COUNTS = (
     "oscar_nomination_count", "oscar_win_count", "best_picture_nomination_count", "best_picture_win_count", "acting_nomination_count",
     "acting_win_count", "directing_nomination_count", "directing_win_count", "writing_nomination_count", "writing_win_count",
@@ -18,11 +17,6 @@ AWARD_COUNTS = (
 AWARD_FLAGS = ("was_oscar_nominated", "was_oscar_winner", "best_picture_nominated", "best_picture_won")
 
 
-def small(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The side, hinted for broadcast if it has at most ``most`` rows."""
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
-
-
 def rated_movies(titles: DataFrame, ratings: DataFrame) -> DataFrame:
     """Titles with a rating row, eight columns; NULL ratings stay."""
     joined = titles.join(ratings, "tconst")
@@ -40,8 +34,8 @@ def attach_names(edges: DataFrame, names: DataFrame, c: Columns = FILM, columns:
 
 
 def attach_known_people(edges: DataFrame, known: DataFrame, c: Columns = FILM) -> DataFrame:
-    """Edges with ``is_known_person``; the lookup is broadcast after a count."""
-    joined = edges.join(small(known.select(c.entity, "is_known_person")), c.entity, "left")
+    """Edges with ``is_known_person``; adaptive execution broadcasts the lookup if its bytes, measured as it runs, are few."""
+    joined = edges.join(known.select(c.entity, "is_known_person"), c.entity, "left")
     return joined.withColumn("is_known_person", F.coalesce("is_known_person", F.lit(False)))
 
 

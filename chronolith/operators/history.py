@@ -19,7 +19,8 @@ PRIORS = ("prior_movie_count", "prior_average_rating", "prior_total_votes", "pri
 
 def timed_edges(edges: DataFrame, items: DataFrame, c: Columns = FILM) -> DataFrame:
     """Distinct entity-item edges with non-null keys, with the item's time and measures."""
-    pairs = edges.select(c.item, c.entity).dropna().distinct()
+    # each key by its own filter, as joins infer them, so that all uses of the edges have one plan
+    pairs = edges.select(c.item, c.entity).where(F.col(c.item).isNotNull() & F.col(c.entity).isNotNull()).distinct()
     return pairs.join(items.select(c.item, c.time, c.score, c.weight), c.item)
 
 
@@ -30,12 +31,14 @@ def entity_history(edges: DataFrame, items: DataFrame, c: Columns = FILM, high:
     count, but not in the mean.
     """
     rows = timed_edges(edges, items, c)
-    yearly = rows.where(F.col(c.time).isNotNull()).groupBy(c.entity, c.time).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(c.score).alias("n_scored"),
-        F.sum(c.score).alias("scores"),
-        F.sum(c.weight).alias("weights"),
-        F.count_if(F.col(c.score) >= high).alias("n_high"),
+    # no filter on the time here: both uses of the rows then read the same exchanges
+    timed = F.col(c.time).isNotNull()
+    yearly = rows.groupBy(c.entity, c.time).agg(
+        F.count(c.time).alias("n"),
+        F.count(F.when(timed, F.col(c.score))).alias("n_scored"),
+        F.sum(F.when(timed, F.col(c.score))).alias("scores"),
+        F.sum(F.when(timed, F.col(c.weight))).alias("weights"),
+        F.count_if(timed & (F.col(c.score) >= high)).alias("n_high"),
     )
     before = Window.partitionBy(c.entity).orderBy(c.time).rowsBetween(Window.unboundedPreceding, -1)
     past = yearly.select(c.entity, c.time, *[F.sum(x).over(before).alias(x) for x in ("n", "n_scored", "scores", "weights", "n_high")])

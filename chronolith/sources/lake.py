@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+PACKAGE = __name__.split(".")[0]
 REPOSITORY = str(Path(__file__).resolve().parents[2])
 LAYERS = ("raw", "bronze", "silver", "gold", "samples", "exports", "models", "metrics", "plans", "charts")
 
@@ -35,6 +36,41 @@ def guard(root: str) -> str:
     return root.rstrip("/")
 
 
+def default_root(backend: str | None = None, user: str | None = None) -> str:
+    """DATA_ROOT, else a folder of the backend: the user's home in HDFS, or below the local home."""
+    if root := os.environ.get("DATA_ROOT"):
+        return normalise(root) if storage_backend(backend) == "hdfs" else root
+    if storage_backend(backend) == "hdfs":
+        name = user or os.environ.get("HDFS_USER") or os.environ.get("USER")
+        if not name:
+            raise ValueError("HDFS needs DATA_ROOT, HDFS_USER or USER")
+        return normalise(f"/user/{name}/{PACKAGE}-data")
+    return str(Path.home() / f"{PACKAGE}-data")
+
+
+def storage_errors(spark: SparkSession, root: str, least_free_gb: float = 50, volume: str | None = None, local_dir: str | None = None) -> list[str]:
+    """Why a root is not fit for use: missing, not writable, too little space, or not on the mounted volume it should be on."""
+    errors = []
+    place = Location(spark, normalise(root))
+    if volume is not None and not os.path.ismount(volume):
+        errors.append(f"no volume is mounted at {volume}")
+    if volume is not None and Path(volume).resolve() not in Path(root).resolve().parents:
+        errors.append(f"{root} lies outside the volume {volume}")
+    if local_dir and "://" in local_dir:
+        errors.append(f"the scratch folder {local_dir} must be a local path")
+    if not place.is_dir():
+        return [*errors, f"{root} is no folder"]
+    probe = place / ".probe"
+    try:
+        probe.write_text("")
+        probe.remove()
+    except Exception as e:  # noqa: BLE001  a store's own errors come through Py4J
+        errors.append(f"{root} is not writable: {type(e).__name__}")
+    if (free := place.free() / 1e9) < least_free_gb:
+        errors.append(f"{free:.1f} GB are free at {root}, {least_free_gb} GB are needed")
+    return errors
+
+
 @dataclass(frozen=True)
 class Location:
     """A path in any store that the session's Hadoop configuration reaches."""
@@ -75,6 +111,21 @@ class Location:
         path, fs = self._fs()
         return int(fs.getContentSummary(path).getLength()) if fs.exists(path) else 0
 
+    def free(self) -> int:
+        """Bytes left in the store."""
+        path, fs = self._fs()
+        return int(fs.getStatus(path).getRemaining())
+
+    def remove(self) -> bool:
+        path, fs = self._fs()
+        return fs.delete(path, True)
+
+    def put(self, local: str) -> Location:
+        """Copy a local file here."""
+        path, fs = self._fs()
+        fs.copyFromLocalFile(False, True, self.spark._jvm.org.apache.hadoop.fs.Path(f"file://{Path(local).resolve()}"), path)
+        return self
+
     def read_text(self) -> str:
         path, fs = self._fs()
         stream = fs.open(path)
@@ -102,10 +153,14 @@ class Lake:
     def __post_init__(self) -> None:
         guard(self.root)
 
+    @property
+    def base(self) -> Location:
+        return Location(self.spark, guard(normalise(self.root)))
+
     def at(self, layer: str, name: str = "") -> Location:
         if layer not in LAYERS:
             raise ValueError(f"unknown layer {layer!r}")
-        place = Location(self.spark, guard(normalise(self.root))) / layer
+        place = self.base / layer
         return place / name if name else place
 
     def create(self) -> Lake:
@@ -116,4 +171,4 @@ class Lake:
     def holds(self, uri: str) -> bool:
         """Whether a path lies below the root."""
         inside = Location(self.spark, uri).resolve()
-        return inside.startswith(Location(self.spark, self.root).resolve().rstrip("/") + "/")
+        return inside.startswith(self.base.resolve().rstrip("/") + "/")

@@ -1,4 +1,4 @@
-"""Validate, write, read again, report."""
+"""Write, read again, validate, publish, report."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.quality import check_output_path
 from ..plans.explain import physical_plan
-from .lake import Location
+from .lake import REPOSITORY, Location
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -25,26 +26,49 @@ def reread_count(df: DataFrame, path: str, expected: int) -> int:
     return found
 
 
-def publish(df: DataFrame, path: str, validate: Callable[[DataFrame], object] | None = None) -> dict:
-    """Write to a staging path, validate what was written, then move it into place.
+def _previous(path: str) -> str:
+    return f"{path.rstrip('/')}__previous"
 
-    A table that fails validation is never published.
+
+def restore(spark: SparkSession, path: str) -> bool:
+    """Put the former table back where a publication was cut short between its two renames."""
+    target, fs = Location(spark, path)._fs()
+    kept = Location(spark, _previous(path))._fs()[0]
+    return not fs.exists(target) and fs.exists(kept) and fs.rename(kept, target)
+
+
+def publish(df: DataFrame, path: str, validate: Callable[[DataFrame], object] | None = None, root: str | None = None) -> dict:
+    """Write to a staging path, compare the counts, validate what was written, then move it into place.
+
+    A table that fails validation is never published, and with ``root`` none outside
+    the data root.  The count of ``df`` is a run of its own, over the columns that its
+    joins need only.  The former table is kept until the new one stands.
     """
     spark, staging = df.sparkSession, f"{path.rstrip('/')}__staging"
+    if root is not None:
+        uri = lambda p: Location(spark, p).resolve()
+        check_output_path(uri(path), uri(root), uri(REPOSITORY)).raise_if_failed()
     began = time.time()
     write_parquet(df, staging)
     written = spark.read.parquet(staging)
+    rows = reread_count(df, staging, df.count())
     result = validate(written) if validate else None
     if result is not None:
         result.raise_if_failed()
+    restore(spark, path)
     target, fs = Location(spark, path)._fs()
-    fs.delete(target, True)
+    kept = Location(spark, _previous(path))._fs()[0]
+    fs.delete(kept, True)
+    if fs.exists(target) and not fs.rename(target, kept):
+        raise RuntimeError(f"could not set the former {path} aside")
     if not fs.rename(Location(spark, staging)._fs()[0], target):
+        restore(spark, path)
         raise RuntimeError(f"could not publish {path}")
+    fs.delete(kept, True)
     again = spark.read.parquet(path)
     return {
         "output_path": path,
-        "rows": again.count(),
+        "rows": rows,
         "output_size_bytes": Location(spark, path).size(),
         "output_schema": again.schema.jsonValue(),
         "partitions": again.rdd.getNumPartitions(),

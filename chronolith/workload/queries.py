@@ -117,7 +117,7 @@ def restricted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def names_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("nconst"), F.col("s_name").alias("primary_name"), F.col("s_nationkey").alias("birth_year"))
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("nconst"), F.col("s_name").alias("primary_name"), F.col("s_nationkey").alias("birth_year"))
     return enrich.attach_names(edges(spark, sf_dir), names).groupBy("nconst", "primary_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -178,6 +178,26 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.rating_anomalies(tagged(spark, sf_dir), exact=True)
 
 
+def doubled(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in names})
+
+
+@query
+def genre_decades_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the jobs compute them: percentile_approx, whose error is under a rank up to 10,000 rows a group."""
+    return doubled(analytics.genre_decade_stats(tagged(spark, sf_dir)), "median_rating", "median_votes")
+
+
+@query
+def runtime_buckets_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubled(analytics.runtime_bucket_stats(tagged(spark, sf_dir), min_films=5), "median_rating")
+
+
+@query
+def anomalies_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.rating_anomalies(tagged(spark, sf_dir))
+
+
 @query
 def prior_vs_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.director_prior_vs_rating(enriched(spark, sf_dir)))
@@ -274,6 +294,12 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.sweep_frame(view(spark, sf_dir, "scored"), label_col="label", thresholds=HIT_THRESHOLDS)
 
 
+@query
+def threshold_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds that every score reaches and that none does: there F1 is NULL."""
+    return evaluate.sweep_frame(view(spark, sf_dir, "scored"), label_col="label", thresholds=(0.0, 0.5, 1.0))
+
+
 @query
 def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluate.threshold_sweep(view(spark, sf_dir, "scored"), label_col="label", thresholds=HIT_THRESHOLDS)

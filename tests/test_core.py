@@ -301,6 +301,11 @@ def test_jobs_end_to_end(spark, tmp_path):
     doc = jobs.model(spark, home, cohort=cohort, estimators={"lr": LogisticRegression(labelCol="is_hit", weightCol="class_weight", maxIter=5)})
     assert artifacts.model_errors(json.loads(json.dumps(doc, default=str))) == []
     assert home.at("models", "hit_selected_model").is_dir() and doc["feature_importance"]
+    awards = {"min_year": 1990, "train_end": 2005, "validation_end": 2012, "test_end": 2019}
+    jobs.model(spark, home, "label_awards", cohort=awards, estimators={"lr": LogisticRegression(labelCol="label_awards", weightCol="class_weight", maxIter=5)})
+    assert artifacts.validate_artifacts(home.at("metrics").uri) == []
+    home.at("charts", "genre_decade.parquet").remove()
+    assert len(artifacts.validate_artifacts(home.at("metrics").uri)) == 1
 
 
 def test_entry_without_corpus_operators():
@@ -318,3 +323,113 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_running_sums_and_quantiles(spark):
+    from chronolith.operators import ranks
+
+    r = random.Random(4)
+    values = [(r.choice([None, *range(9)]), r.choice("ab"), r.choice([None, 0.5, 1.5, 1.5, 7.0, float(r.randrange(300))])) for _ in range(3000)]
+    rows = spark.createDataFrame(values, "k int, g string, x double").withColumn("id", F.monotonically_increasing_id())
+    got = {(v.k, v.id): v.before_n for v in ranks.running(rows.withColumn("n", F.lit(2)), ["k", "id"], ["n"], 3000).collect()}
+    order = sorted(got, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert [got[k] for k in order] == [2 * i for i in range(3000)]
+    for p in (0.1, 0.5, 1.0):
+        found = {(v.g): v.q for v in ranks.quantiles(rows, ["g"], "x", p, "q").collect()}
+        disc = {v.g: v.q for v in rows.groupBy("g").agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)").alias("q")).collect()}
+        assert found == disc
+    assert ranks.quantiles(rows.limit(0), [], "x", 0.5, "q").first().q is None
+    assert ranks.running(rows.limit(0).withColumn("n", F.lit(1)), ["k"], ["n"], 0).count() == 0
+
+
+def test_ranked_plans_have_no_single_task_over_rows(spark):
+    """What meets in one task is a row for each range, made by an aggregation by range."""
+    rows = spark.range(2000).select(F.col("id").alias("tconst"), (F.col("id") % 700).cast("double").alias("s"), (F.col("id") % 2).cast("int").alias("is_hit"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (analytics.signal_lift(rows, signal_col="s", tie_break=("tconst",)), evaluate.roc_auc(rows, label_col="is_hit", score_col="s")):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            singles = [i for i, line in enumerate(plan) if "Exchange SinglePartition" in line]
+            windows = [i for i, line in enumerate(plan) if "Window [" in line and "range_#" in line and "start" not in line]
+            assert windows
+            for i in singles:  # an aggregation stands directly below each
+                assert "HashAggregate" in plan[i + 1] or "HashAggregate" in plan[i + 2]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_history_reads_the_edges_once(spark, movies, edges, tmp_path):
+    paths = {"m": movies, "e": edges}
+    for name, df in paths.items():
+        df.write.parquet(str(tmp_path / name))
+    m, e = (spark.read.parquet(str(tmp_path / n)) for n in paths)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = history.entity_history(e, m)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert plan.count("FileScan parquet") == 2 and plan.count("ReusedExchange") == 2
+
+
+def test_names_without_a_match(spark, edges):
+    names = spark.createDataFrame([("a", "A", 1950), ("z", "Z", 1)], "nconst string, primary_name string, birth_year int")
+    got = {(r.nconst, r.primary_name) for r in enrich.attach_names(edges, names).collect()}
+    assert got == {("a", "A"), ("b", None), (None, None)}
+
+
+def test_f1_without_a_true_positive():
+    assert evaluate.positive_class_metrics(tp=0, fp=1, fn=1, tn=1)["positive_f1"] is None
+    rows = [{"threshold": t, "precision": 0.0, "recall": 0.0, "positive_f1": None} for t in (0.5, 0.6)]
+    with pytest.raises(ValueError):
+        evaluate.select_threshold(rows)
+    good = {"threshold": 0.1, "precision": 0.1, "recall": 0.1, "positive_f1": 0.1}
+    assert evaluate.select_threshold([*rows, good]) == good
+
+
+def test_publication_cut_short(spark, movies, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.publish(movies, path)
+    (tmp_path / "t").rename(tmp_path / "t__previous")  # as a crash between the two renames leaves it
+    assert sinks.restore(spark, path) and spark.read.parquet(path).count() == 6
+    assert not sinks.restore(spark, path)
+    assert sinks.publish(movies.limit(2), path, root=str(tmp_path))["rows"] == 2
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t__previous").exists()
+    with pytest.raises(RuntimeError, match="outside"):
+        sinks.publish(movies, path, root=str(tmp_path / "other"))
+
+
+def test_storage_checks(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    assert lake.storage_errors(spark, root, 0) == []
+    assert lake.storage_errors(spark, root + "/none", 0) and lake.storage_errors(spark, root, 1e9)
+    assert len(lake.storage_errors(spark, root, 0, volume=root + "/x", local_dir="hdfs://a/b")) == 3
+    place = lake.Location(spark, root + "/f")
+    (tmp_path / "in").write_text("abc")
+    assert place.put(root + "/in").read_text() == "abc" and place.free() > 0 and place.remove() and not place.exists()
+    for key in ("DATA_ROOT", "HDFS_USER"):
+        monkeypatch.delenv(key, raising=False)
+    assert lake.default_root("hdfs", "u") == "hdfs:///user/u/chronolith-data" and lake.default_root("local").endswith("/chronolith-data")
+    monkeypatch.setenv("DATA_ROOT", "/user/u/d")
+    assert lake.default_root("hdfs") == "hdfs:///user/u/d" and lake.default_root("local") == "/user/u/d"
+
+
+def test_seeded_sample(movies):
+    many = movies.sparkSession.range(20_000, numPartitions=4)
+    a, b = (analytics.seeded_sample(many, ["id"], 0.05, 1) for _ in range(2))
+    assert 800 < a.count() < 1200 and a.exceptAll(b).count() == 0 and a.distinct().count() == a.count()
+
+
+def test_artifact_rules():
+    good = good_document()
+    for path, value in (("threshold_selection.selected.threshold", True), ("test_metrics.tp", 1.5), ("test_metrics.recall", None), ("partitions.train.max_year", None), ("feature_cols", []), ("candidate_results", None)):
+        bad = json.loads(json.dumps(good))
+        *folders, last = path.split(".")
+        node = bad
+        for key in folders:
+            node = node[key]
+        node[last] = value
+        found = artifacts.model_errors(bad)
+        assert len(found) == 1 and ("candidate" in found[0] if last == "candidate_results" else found[0].startswith(path))
