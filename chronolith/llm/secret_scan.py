@@ -11,8 +11,14 @@ Copies after another sensitive word do not make a string familiar, and a string
 novel is reported wherever it stands again; a copy under the same sensitive word, or
 under none, counts as text around.
 
-Null text counts as empty and has no spans.  Repeated rows give repeated results.
-Whole texts are scanned; offsets are code points, ends exclusive.
+A string is close if it begins at most REACH characters after the sensitive word, or
+after a novel string that is; what stands further is not measured.  A novel string of
+letters whose letter triples the text's own words or the dictionary know is a word of a
+language or an identifier made of words, and no finding.
+
+Null text counts as empty and has no spans.  Repeated rows give repeated results, an
+empty table none.  Extra columns do not matter to ``scan`` and pass ``redact`` as they
+are.  Whole texts of any length are scanned; offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +40,10 @@ ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
+def triples(words: Iterable[str]) -> set[str]:
+    return {w[i : i + 3] for w in words for i in range(len(w) - 2)}
+
+
 #: A word that makes what follows it sensitive.
 CONTEXT = re.compile(
     r"""(?i:authorization|bearer|credentials?|private[_ -]?key|access[_ -]?key|client[_ -]?secret|passphrase|passcode|signing[_ -]?key|connection[_ -]?string|password|passwd|secret|token|api[ _-]?key)"""
@@ -48,6 +58,11 @@ LINE = re.compile(r"""((?:\\r|\\n|[\s"',;>#*|])*)([A-Za-z0-9+/=]+)(?=[\x20\t"',;
 REACH, AROUND = 24, 256
 #: Share of a candidate's cost that must be new.
 NOVEL = 0.8
+#: Share of its characters in runs of letters, and of those runs' triples that must be known, for a string to count as words.
+LETTERS, KNOWN = 0.8, 0.5
+RUN = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+#: Words that show a language's triples; keys are longer.
+WORD = re.compile(r"(?<![^\W_])[^\W\d_]{3,11}(?![^\W_])")
 IDENTIFIERS = (
     "Authorization Bearer credentials private_key access_key client_secret passphrase passcode signing_key "
     "connection_string example placeholder changeme your_api_key_here configuration environment variable "
@@ -65,6 +80,8 @@ IDENTIFIERS = (
     "knowledge experience difference conference reference independent comprehensive extraordinary straightforward "
     "development abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000 1111111111 xxxxxxxxxxxx"
 ).encode()
+#: Of its words; the alphabets and digits at its end are none.
+IDENTIFIER_TRIPLES = triples(w.lower() for w in IDENTIFIERS.decode().split() if w.isalpha() and w.islower() and "xyz" not in w and "xxx" not in w)
 
 
 def cost(raw: bytes, before: bytes) -> int:
@@ -116,6 +133,15 @@ def key_lines(text: str, at: int) -> list[tuple[int, int]]:
     return found
 
 
+def worded(candidate: str, known: set[str]) -> bool:
+    """Whether a string is made of words, by the letter triples that are known."""
+    runs = [r.lower() for r in RUN.findall(candidate)]
+    if sum(map(len, runs)) < LETTERS * len(candidate):
+        return False
+    parts = [r[i : i + 3] for r in runs for i in range(len(r) - 2)]
+    return sum(p in known for p in parts) >= KNOWN * len(parts)
+
+
 def surroundings(text: str, start: int, end: int, words: list[str], sensitive: list[int]) -> str:
     """The text around, without copies of ``words`` that stand as near after another sensitive word (by their ends)."""
     own = bisect_right(sensitive, start)
@@ -142,11 +168,16 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     matches = list(CONTEXT.finditer(text))
     sensitive = [m.end() for m in matches]
     found, past, measured = set(), 0, set()
+    known: set[str] = set()
 
     def new(spans: list[tuple[int, int]]) -> bool:
         words = [text[a:b] for a, b in spans]
         start, end = spans[0][0], spans[-1][1]
-        return novelty("".join(words), surroundings(text, start, end, words, sensitive)) >= NOVEL
+        if novelty("".join(words), surroundings(text, start, end, words, sensitive)) < NOVEL:
+            return False
+        if not known:
+            known.update(IDENTIFIER_TRIPLES, triples(w.lower() for w in set(WORD.findall(text))))
+        return not all(worded(w, known) for w in words)
 
     def covered(start: int, end: int) -> bool:
         return any(a <= start and end <= b for a, b, _ in taken)
@@ -222,7 +253,8 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_c
     """The same rows and columns with secrets replaced in the text.
 
     Texts without a secret, null ones among them, stay as they are.  Where
-    ``length_column`` exists, it follows a text that has changed.
+    ``length_column`` is a whole number of 32 or 64 bits, it follows a text that has
+    changed; a column of that name of another kind stays as it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +266,8 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_c
                 columns = batch.columns
                 if new != texts:
                     columns[i] = pa.array(new, pa.string())
-                    if (j := batch.schema.get_field_index(length_column)) >= 0:
+                    j = batch.schema.get_field_index(length_column)
+                    if j >= 0 and batch.schema.field(j).type in (pa.int32(), pa.int64()):
                         lengths = batch.column(j)
                         columns[j] = pa.array([len(b) if a != b else n for a, b, n in zip(texts, new, lengths.to_pylist())], lengths.type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
