@@ -9,12 +9,19 @@ A rule fits its host and all subdomains if the path starts with the rule's path;
 the longest fitting rule wins (by length of host and path; among equal lengths the
 longer host).  Where none fits, a host label of BAD_LABELS blocks, else the url is
 allowed.  Null urls and urls without ``://`` have an empty host and path, fit no
-rule and are allowed.  Repeated rows give repeated results.
+rule and are allowed.  Repeated rows, null ids among them, give repeated results, an
+empty table none.  Urls of any length are taken whole.  Extra columns, also such as
+``host`` or ``verdict``, do not matter.  Rules and labels are parameters: ``rules_of``
+and ``labels_of`` read them from tables or files.
 """
 
 from __future__ import annotations
 
+import atexit
+import functools
+import hashlib
 import os
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (verdict, host, path prefix)
@@ -56,18 +63,25 @@ class DigestArray:
     """The file: count, sorted digests, key offsets, values, then the keys."""
 
     @staticmethod
-    def build(entries: dict[bytes, int], path: str) -> None:
+    def pack(entries: dict[bytes, int]) -> bytes:
         import xxhash
 
         if len(entries) > MOST_RULES:
             raise ValueError(f"{len(entries)} rules; an array holds {MOST_RULES} at most: match() joins larger lists")
         rows = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in entries.items())
+        parts = [
+            struct.pack("<q", len(rows)),
+            np.array([r[0] for r in rows], "<u8").tobytes(),
+            np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<i8").tobytes(),
+            np.array([r[2] for r in rows], "<i4").tobytes(),
+            *(r[1] for r in rows),
+        ]
+        return b"".join(parts)
+
+    @staticmethod
+    def build(entries: dict[bytes, int], path: str) -> None:
         with open(path, "wb") as f:
-            f.write(struct.pack("<q", len(rows)))
-            f.write(np.array([r[0] for r in rows], "<u8").tobytes())
-            f.write(np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<i8").tobytes())
-            f.write(np.array([r[2] for r in rows], "<i4").tobytes())
-            f.write(b"".join(r[1] for r in rows))
+            f.write(DigestArray.pack(entries))
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, np.uint8, "r")
@@ -97,6 +111,43 @@ class DigestArray:
         return out
 
 
+@functools.cache
+def _folder() -> str:
+    """A folder of this driver, from which its file server sends; it goes when the driver ends."""
+    path = tempfile.mkdtemp(prefix="digests-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def sent(spark: SparkSession, entries: dict[bytes, int]) -> str:
+    """The name under which executors find the array; equal arrays are sent once."""
+    raw = DigestArray.pack(entries)
+    name = f"digests-{hashlib.sha256(raw).hexdigest()[:32]}.bin"
+    if name not in {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}:
+        path = os.path.join(_folder(), name)
+        with open(path, "wb") as f:
+            f.write(raw)
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def rules_of(table: DataFrame) -> tuple[tuple[str, str, str], ...]:
+    """The rules of a table (verdict, host, path), for ``classify``; ValueError beyond MOST_RULES."""
+    rows = table.select("verdict", "host", "path").where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules: match() joins larger lists")
+    return tuple(sorted({tuple(r) for r in rows}))
+
+
+def labels_of(lines: DataFrame, column: str = "value") -> tuple[str, ...]:
+    """The host labels of a table, such as ``spark.read.text`` gives: one a row, ``#`` begins a comment."""
+    label = F.lower(F.trim(F.regexp_replace(F.col(column), "#.*", "")))
+    rows = lines.select(label.alias("label")).where("label <> ''").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} labels")
+    return tuple(sorted(r.label for r in rows))
+
+
 def classify(pages: DataFrame, rules=RULES, bad_labels=BAD_LABELS, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict of every row.
 
@@ -105,11 +156,7 @@ def classify(pages: DataFrame, rules=RULES, bad_labels=BAD_LABELS, id_column: st
     """
     entries = {key_of("rule", h, p): i for i, (_, h, p) in enumerate(rules)}
     entries |= {key_of("label", label, ""): i for i, label in enumerate(bad_labels)}
-    fd, local = tempfile.mkstemp(prefix="digests-", suffix=".bin")
-    os.close(fd)
-    DigestArray.build(entries, local)
-    pages.sparkSession.sparkContext.addFile(local)
-    name = os.path.basename(local)
+    name = sent(pages.sparkSession, entries)
     depth = max([h.count(".") + 1 for _, h, _ in rules], default=0)
     lengths = sorted({len(p) for _, _, p in rules})
     rank = sorted(range(len(rules)), key=lambda i: (len(rules[i][1]) + len(rules[i][2]), len(rules[i][1])))
@@ -154,15 +201,18 @@ def match(pages: DataFrame, rules: DataFrame, depth: int, lengths: list[int], id
     """The same rules from a table (verdict, host, path) of any size, by an equality join.
 
     ``depth`` is the most labels of a rule's host, ``lengths`` are the lengths of
-    the rules' paths.  Returns page_id and the longest fitting rule of every page
-    that has one.
+    the rules' paths.  Returns page_id and the longest fitting rule of every row that
+    has one.  Each distinct host and path is matched once, so a host of a third of
+    all pages is a few keys; rows that repeat an id, null ids among them, stay apart.
     """
     url = F.col(url_column).cast("string")
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.least(F.lit(depth), F.size(labels))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
     cuts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
     parts = pages.select(F.col(id_column).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    keyed = parts.select("page_id", "path", F.explode(hosts).alias("h")).select("page_id", "h", F.explode(F.transform(cuts, lambda n: F.left("path", n))).alias("p"))
+    place = parts.select("host", "path").distinct()
+    keyed = place.select("host", "path", F.explode(hosts).alias("h")).select("host", "path", "h", F.explode(F.transform(cuts, lambda n: F.left("path", n))).alias("p"))
     found = keyed.join(rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict"), ["h", "p"])
     size = F.struct(F.length("h") + F.length("p"), F.length("h"))
-    return found.groupBy("page_id").agg(F.max_by(F.concat("h", "p"), size).alias("rule"), F.max_by("verdict", size).alias("verdict"))
+    best = found.groupBy("host", "path").agg(F.max_by(F.concat("h", "p"), size).alias("rule"), F.max_by("verdict", size).alias("verdict"))
+    return parts.join(best, ["host", "path"]).select("page_id", "rule", "verdict")
