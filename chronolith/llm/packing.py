@@ -7,9 +7,10 @@ the stream is cut every ``length`` tokens.  Only the very last sequence can be
 short: it is cut at powers of two, so no sequence needs padding.
 
 Ranges are split by key, then document id, so any number of copies under one key
-spreads over many tasks.  Null text counts as empty: the document is its end id.
-Rows that repeat an id are packed each; among equal keys and ids the order follows
-the ids' checksum.
+spreads over many tasks.  Ranges and tasks follow from the bytes of the ids.  Null
+text counts as empty: the document is its end id.  Rows that repeat an id are packed
+each; among equal keys and ids the order follows the ids' checksum.  Texts of any
+length are encoded whole, extra columns do not matter, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ LENGTH = 2048
 BINS, DIMS, BITS = 256, 3, 10
 #: Sampled rows for each range; ranges for each shuffle partition.
 PER_RANGE, RANGES = 32, 4
+#: Bytes of ids that a task should get, and the most ranges, beyond which they grow instead; a range is never held whole.
+TASK_BYTES, MOST_RANGES = 64 << 20, 20_000
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -125,11 +128,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
     # null ids sort first, as the smallest id would
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
     keys = ["hkey", "at"]
-    cuts = splitters(rows, keys, RANGES * partitions(spark))
+    wide = 4 if _wide(tokenizer) else 2
+    size = (rows.agg(F.sum("n")).first()[0] or 0) * wide
+    tasks = max(partitions(spark), -(-size // TASK_BYTES))
+    cuts = splitters(rows, keys, max(RANGES * partitions(spark), min(RANGES * tasks, MOST_RANGES)))
     placed = rows.withColumn("bucket", range_of(keys, cuts))
     totals = placed.groupBy("bucket").agg(F.sum("n").alias("m"))
     before = totals.select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy()).alias("total"))
-    wide = 4 if _wide(tokenizer) else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, at = None, 0
@@ -147,7 +152,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)], ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     there = placed.join(F.broadcast(cut(before)), "bucket") if len(cuts) < 100_000 else placed.join(before, "bucket")
-    dealt = there.repartition(F.col("bucket")).sortWithinPartitions("bucket", "hkey", "at", "tie")
+    # at the session's own number of partitions adaptive execution may merge small ones
+    dealt = there.repartition(F.col("bucket")) if tasks == partitions(spark) else there.repartition(tasks, F.col("bucket"))
+    dealt = dealt.sortWithinPartitions("bucket", "hkey", "at", "tie")
     out = dealt.select("bucket", "doc_id", "n", "before", "total", "ids")
     return out.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
