@@ -6,7 +6,8 @@ mask: applying one, comparing two, or measuring what a rule contributes is integ
 arithmetic on the ledger and never touches a text again.
 
 Null and empty texts have no words and fail ``too_short``.  Repeated rows give
-repeated results.  Texts of any length are measured whole.
+repeated results, an empty table none.  Texts of any length are measured whole.  Extra
+columns of any name travel inside the struct ``row`` and never meet the measurements.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, slices, text_of
+from .common import SPACES, cut, slices, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -112,6 +113,11 @@ def ledger(docs: DataFrame, columns: list[str] | None = None, text_column: str =
     return measured.withColumn("failed_bits", failed_bits())
 
 
+def store(docs: DataFrame, columns: list[str], text_column: str = "text") -> DataFrame:
+    """The ledger of the named columns, written to the shared folder and read again: policies and ablations start there."""
+    return cut(ledger(docs, columns, text_column))
+
+
 def passes(version: int = LATEST) -> Column:
     """Whether a ledger row passes the policy of that version."""
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[version])) == 0

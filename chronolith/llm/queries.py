@@ -28,13 +28,22 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(_table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = quality.store(_table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
         (F.col("failed_bits").bitwiseAND(F.lit(quality.BASE)) != 0).alias("base_failed"), quality.passes().alias("kept"), "failed_bits",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy and rule: documents that fail it, and that fail it alone, from one stored ledger."""
+    rows = quality.store(_table(spark, sf_dir, "documents"), ["doc_id"])
+    first, *more = [quality.ablation(rows, version) for version in sorted(quality.POLICIES)]
+    for frame in more:
+        first = first.unionByName(frame)
+    return first
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.classify(_table(spark, sf_dir, "pages"))
 
@@ -75,7 +84,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_token_store, op5_packing, op6_chat_windows, op7_exact_dedup, op8_bpe, op9_simhash, op10_license_scan)
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in (*ops, quality_ablation)}
 
 
 def _op3_sql() -> str:
