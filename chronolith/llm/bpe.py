@@ -11,7 +11,9 @@ word_bpe_49k.json: NFC, white space to one space, lower case by character, then
 pattern; bytes map to printable characters.  Strings of special tokens in a text
 are those tokens, as in the library's default.
 
-Null text counts as empty: no ids, and the decoded text is empty.
+Null text counts as empty: no ids, and the decoded text is empty.  Repeated rows give
+repeated results, an empty table none.  Texts of any length are encoded whole, word by
+word; of merges of equal rank the leftmost goes first.  Extra columns do not matter.
 """
 
 from __future__ import annotations

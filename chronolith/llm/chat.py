@@ -16,7 +16,7 @@ are new, never a repeated one.
 Null texts and roles count as empty; rows go by turn (null first), then role, then
 text, and repeated rows are turns of their own.  A null conv_id is a conversation.
 A turn larger than a window stands in one of its own size.  An empty table gives
-none.  Windows come from sums over the rows of a conversation; only its digest
+none.  Extra columns, also one called ``window``, do not matter.  Windows come from sums over the rows of a conversation; only its digest
 needs all its text together, which is one row's value.
 """
 

@@ -27,10 +27,13 @@ def text_of(column: str = "text") -> Column:
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder serves.
+    The folder is ``spark.checkpoint.dir``; where that is unset a temporary folder
+    serves on one machine, and a cluster, whose machines do not share one, is refused.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.gettempdir()
     return f"{base.rstrip('/')}/chronolith-{uuid.uuid4().hex}"
 
 

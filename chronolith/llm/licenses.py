@@ -14,7 +14,8 @@ Anchor words stand in a set of that kind too.  None of these bounds loses a matc
 Null and empty texts, and segments of fewer than two words, match nothing.
 Runs overlap, so of runs only a template's best match counts, once and where no
 other segment matches it as well.  Repeated segments of a text count once; equal scores go to the first name by
-alphabet.  Repeated rows give repeated results.
+alphabet.  Repeated rows give repeated results, an empty table none.  Texts of any
+length are compared whole; extra columns, also such as ``dice``, do not matter.
 """
 
 from __future__ import annotations

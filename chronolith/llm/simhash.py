@@ -21,7 +21,8 @@ Words end at ``[\\x20\\x09-\\x0D]``; A-Z are lower-cased; a shingle is three wor
 repeats included, joined by spaces; fewer words are one shingle; none give
 fingerprint zero, which links like any other.  Null text counts as empty.  Rows that
 repeat an id are rows of one document.  A null id takes part; a component of null
-ids only has a null id.  An empty table gives none.
+ids only has a null id.  An empty table gives none.  Texts of any length are hashed
+whole; extra columns pass ``keep`` as they are and do not matter elsewhere.
 """
 
 from __future__ import annotations

@@ -21,6 +21,8 @@ constant time whatever the shard's size.  The stored document id is confirmed to
 Null text counts as empty: its only id is the end id.  A null document id sorts
 first, is stored, and cannot be looked up; of rows that repeat an id within a shard
 the first by text is the one the index knows, and enumeration gives all of them.
+Texts of any length are encoded whole; extra columns do not matter; an empty table
+makes no shard and no row.
 """
 
 from __future__ import annotations
