@@ -433,3 +433,43 @@ def test_artifact_rules():
         node[last] = value
         found = artifacts.model_errors(bad)
         assert len(found) == 1 and ("candidate" in found[0] if last == "candidate_results" else found[0].startswith(path))
+
+
+def copied(tmp_path, *missing):
+    """The repository's code without some of its parts, and what its entry lists there."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = lake.REPOSITORY
+    shutil.copytree(f"{root}/chronolith", tmp_path / "chronolith", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    for name in missing:
+        path = tmp_path / name
+        if path.is_dir():
+            shutil.rmtree(path)
+        elif path.exists():
+            path.unlink()
+    if (tmp_path / "chronolith/llm/bpe.py").exists() and "regex" in missing:
+        text = (tmp_path / "chronolith/llm/bpe.py").read_text()
+        (tmp_path / "chronolith/llm/bpe.py").write_text(text.replace("import regex", "import no_such_regex"))
+    code = "import __spark_entry__ as e; print(' '.join(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    return subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+
+
+def test_entry_of_a_copy_without_corpus_operators(tmp_path):
+    for i, missing in enumerate((("chronolith/llm", "corpus_pipeline.py"), ("chronolith/llm",))):
+        done = copied(tmp_path / str(i), *missing)
+        assert "enriched_orders" in done.stdout and "op1_" not in done.stdout and "pipeline" not in done.stdout, done.stderr
+        assert done.stdout.strip().endswith("True")
+
+
+def test_entry_does_not_hide_import_errors(tmp_path):
+    whole = copied(tmp_path / "whole")
+    if "op1_" in whole.stdout:
+        broken = copied(tmp_path / "broken", "regex")
+        assert broken.returncode and "no_such_regex" in broken.stderr
