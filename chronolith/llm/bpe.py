@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import map_arrow, slices, text_of
 
 #: Words and chunks that a worker remembers.
 MOST_WORDS, MOST_CHUNKS = 500_000, 300_000
@@ -165,4 +165,4 @@ def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if outputs else [])]
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<bigint>, decoded string" if outputs else "")
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")), run, schema)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that separate words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -17,6 +23,8 @@ SPACE = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker takes at once.
 SLICE_BYTES = 8 << 20
+#: Applications that have the package already.
+_sent: set[str] = set()
 
 
 def text_of(column: str = "text") -> Column:
@@ -51,6 +59,28 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _package() -> str:
+    """This package's modules as a zip archive, in a folder that goes when the driver ends."""
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    return path
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` by workers that have this package, installed there or not."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _sent:
+        context.addPyFile(_package())
+        _sent.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

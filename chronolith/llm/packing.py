@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunked import ChunkEncoder
-from .common import cut, partitions, slices, text_of
+from .common import cut, map_arrow, partitions, slices, text_of
 
 LENGTH = 2048
 BINS, DIMS, BITS = 256, 3, 10
@@ -89,7 +89,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(list(map(len, ids)), pa.int64()), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "hkey", "n", "tie", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    return cut(rows.mapInArrow(run, "doc_id bigint, hkey bigint, n bigint, tie bigint, ids binary"))
+    return cut(map_arrow(rows, run, "doc_id bigint, hkey bigint, n bigint, tie bigint, ids binary"))
 
 
 def splitters(rows: DataFrame, keys: list[str], ranges: int) -> list[tuple]:
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
     dealt = there.repartition(F.col("bucket")) if tasks == partitions(spark) else there.repartition(tasks, F.col("bucket"))
     dealt = dealt.sortWithinPartitions("bucket", "hkey", "at", "tie")
     out = dealt.select("bucket", "doc_id", "n", "before", "total", "ids")
-    return out.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return map_arrow(out, run, "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def _wide(tokenizer: str) -> bool:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, slices, text_of
+from .common import SPACES, cut, map_arrow, slices, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -109,7 +109,7 @@ def ledger(docs: DataFrame, columns: list[str] | None = None, text_column: str =
     columns = docs.columns if columns is None else columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text_of(text_column).alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
-    measured = packed.mapInArrow(_measured, f"row {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
+    measured = map_arrow(packed, _measured, f"row {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
     return measured.withColumn("failed_bits", failed_bits())
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import map_arrow, slices, text_of
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -231,7 +231,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                     rows.append((doc, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.string()] * 2)], SPANS.replace(" bigint", "").replace(" string", "").split(", "))
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, SPANS)
+    return map_arrow(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")), run, SPANS)
 
 
 def redacted(text: str, mark: str = "[SECRET]") -> str:
@@ -272,4 +272,4 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_c
                         columns[j] = pa.array([len(b) if a != b else n for a, b, n in zip(texts, new, lengths.to_pylist())], lengths.type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

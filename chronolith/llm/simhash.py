@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_of
+from .common import cut, map_arrow, slices, text_of
 
 WORDS, SEED, DISTANCE, SEGMENT = 3, 42, 3, 32
 #: Fingerprints with one segment value from which its buckets are divided.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    return cut(rows.mapInArrow(run, "doc_id bigint, fp bigint"))
+    return cut(map_arrow(rows, run, "doc_id bigint, fp bigint"))
 
 
 def _variants(fps: DataFrame, side: int) -> DataFrame:
@@ -162,7 +162,7 @@ def components(pairs: DataFrame) -> DataFrame:
     stays short.
     """
     smaller = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, seen = cut(smaller(pairs.mapInArrow(_forest, "u bigint, v bigint"))), None
+    edges, seen = cut(smaller(map_arrow(pairs, _forest, "u bigint, v bigint"))), None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen or not state[0]:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunked import ChunkEncoder
-from .common import cut, slices, text_of
+from .common import cut, map_arrow, slices, text_of
 
 HEAD = struct.Struct("<4sIIQQQQ")
 MAGIC, VERSION = b"CLTS", 1
@@ -187,7 +187,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, id_
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(run, "part int, seq int, first bigint, n_docs bigint, n_tokens bigint, shard binary"))
+    return cut(map_arrow(ordered, run, "part int, seq int, first bigint, n_docs bigint, n_tokens bigint, shard binary"))
 
 
 def starts(shards: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def read(shards: DataFrame) -> DataFrame:
 
     # one row for each part, of which there are no more than shuffle partitions
     placed = shards.join(F.broadcast(starts(shards)), "part").select((F.col("part_start") + F.col("first")).alias("start"), "shard")
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(placed, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def export(shards: DataFrame, folder: str) -> DataFrame:
@@ -236,4 +236,4 @@ def export(shards: DataFrame, folder: str) -> DataFrame:
                 os.replace(f.name, names[-1])
             yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
 
-    return shards.select("part", "seq", "shard").mapInArrow(run, "path string")
+    return map_arrow(shards.select("part", "seq", "shard"), run, "path string")

@@ -32,6 +32,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: (verdict, host, path prefix)
 RULES = (
     ("block", "com", "/en/"),
@@ -194,7 +196,7 @@ def classify(pages: DataFrame, rules=RULES, bad_labels=BAD_LABELS, id_column: st
 
     url = F.col(url_column).cast("string")
     parts = pages.select(F.col(id_column).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    return parts.mapInArrow(run, "page_id bigint, host string, path string, rule string, verdict string")
+    return map_arrow(parts, run, "page_id bigint, host string, path string, rule string, verdict string")
 
 
 def match(pages: DataFrame, rules: DataFrame, depth: int, lengths: list[int], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
