@@ -67,7 +67,7 @@ def _package() -> str:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = f"{folder}/{root.name}.zip"
     with zipfile.ZipFile(path, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
+        for file in sorted([*root.rglob("*.py"), *root.rglob("*.txt")]):
             archive.write(file, file.relative_to(root.parent))
     return path
 

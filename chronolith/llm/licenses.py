@@ -1,15 +1,15 @@
 """Licence scan: Dice coefficient over word bigrams, by DataFrame functions only.
 
 A text is compared segment by segment: its lines, sentences, paragraphs, the whole,
-and runs of words as long as a template, laid where an anchor word (below) stands as
-in the template; so line ends, comment marks and text around do not matter.  Segment and template are lower-cased sets of word bigrams.  With Dice at
+and runs of words as long as a template, laid where a mark (below) stands as in the
+template; so line ends, comment marks and text around do not matter.  Segment and template are lower-cased sets of word bigrams.  With Dice at
 least ``t``, sizes a and b obey ``a >= b*t/(2-t)`` and ``a <= b*(2-t)/t``; templates
 outside those bounds are pruned before any set is intersected, and a segment of
 more distinct words than that allows before its bigrams are made.  Likewise an
 overlap of at least ``b*t/(2-t)`` bigrams is needed, so of any set of a template's
 bigrams larger than the rest one must occur.  The longest bigrams of each template
-are such a set, its marks: texts, segments and runs without a mark are passed over.
-Anchor words stand in a set of that kind too.  None of these bounds loses a match.
+are such a set, its marks: texts and segments without a mark are passed over, and a
+run that matches holds one.  None of these bounds loses a match.
 
 Null and empty texts, and segments of fewer than two words, match nothing.
 Runs overlap, so of runs only a template's best match counts, once and where no
@@ -21,6 +21,7 @@ length are compared whole; extra columns, also such as ``dice``, do not matter.
 from __future__ import annotations
 
 import re
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ TEMPLATES = {
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+FULL_TEXTS = files(__package__) / "license_texts.txt"
+
+
+def read_templates(text: str) -> dict[str, str]:
+    """The templates of a file: ``== NAME`` begins a text, ``#`` lines before the first are comments."""
+    parts = re.split(r"^== (.+)$", text, flags=re.M)
+    return {name.strip(): body.strip() for name, body in zip(parts[1::2], parts[2::2])}
+
+
+#: Notices and full texts, by name.
+ALL_TEMPLATES = TEMPLATES | read_templates(FULL_TEXTS.read_text(encoding="utf-8"))
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE_BREAK, PARAGRAPH_BREAK = r"(?<=[.!?:])[ \t]+", r"\n[ \t\r]*\n"
 
@@ -63,27 +75,16 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def template_anchors(text: str, threshold: float = THRESHOLD) -> list[str]:
-    """A template's longest words until the bigrams holding one of them outnumber those that a match may lack."""
-    grams = [g.split(" ") for g in template_bigrams(text)]
+def template_marks(text: str, threshold: float = THRESHOLD) -> list[str]:
+    """A template's longest bigrams, one more than a match may lack."""
+    grams = sorted(template_bigrams(text), key=lambda g: (-len(g), g))
     spare = len(grams) - len(grams) * threshold / (2 - threshold)
-    chosen: list[str] = []
-    for word in [None, *sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w))]:
-        if word:
-            chosen.append(word)
-        if sum(any(w in chosen for w in g) for g in grams) > spare + 1e-9:
-            break
-    return chosen
+    return grams[: int(spare + 1e-9) + 1]
 
 
 def marks(templates: dict[str, str], threshold: float = THRESHOLD) -> list[str]:
     """Bigrams of which a segment must have one to match any template."""
-    found: set[str] = set()
-    for text in templates.values():
-        grams = sorted(template_bigrams(text), key=lambda g: (-len(g), g))
-        spare = len(grams) - len(grams) * threshold / (2 - threshold)
-        found.update(grams[: int(spare + 1e-9) + 1])
-    return sorted(found)
+    return sorted({mark for text in templates.values() for mark in template_marks(text, threshold)})
 
 
 def any_of(words: list[str]) -> str:
@@ -105,14 +106,14 @@ def mark_pattern(templates: dict[str, str], threshold: float = THRESHOLD) -> str
 
 
 def places(templates: dict[str, str], threshold: float = THRESHOLD) -> dict[str, list[tuple[int, int]]]:
-    """For each anchor word where it stands in its templates, in words from their start, and their lengths."""
+    """For each mark where it stands in its templates, in words from their start, and their lengths."""
     found: dict[str, set[tuple[int, int]]] = {}
     for text in templates.values():
-        words, chosen = template_words(text), template_anchors(text, threshold)
-        for i, word in enumerate(words):
-            if word in chosen:
-                found.setdefault(word, set()).add((i, len(words)))
-    return {word: sorted(p) for word, p in sorted(found.items())}
+        words, chosen = template_words(text), set(template_marks(text, threshold))
+        for i, pair in enumerate(zip(words, words[1:])):
+            if " ".join(pair) in chosen:
+                found.setdefault(" ".join(pair), set()).add((i, len(words)))
+    return {mark: sorted(p) for mark, p in sorted(found.items())}
 
 
 def segments(text: Column) -> Column:
@@ -133,34 +134,23 @@ def bigrams_of(words: Column) -> Column:
 
 
 def runs(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
-    """Bigrams of the text's runs of words laid by anchor words."""
-    none = F.array().cast("array<struct<start:int,n:int>>")
+    """Bigrams of the text's runs of words laid by marks."""
     known = places(templates, threshold)
-    if not known:
-        return F.array().cast("array<array<string>>")
-    table = F.create_map(*[c for word, p in known.items() for c in (F.lit(word), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in p]))])
-
-    def laid(word: Column, at: Column) -> Column:
-        # a run cut by the text's start is so much shorter
-        start = lambda p: F.struct(F.greatest(at - p["i"], F.lit(0)).alias("start"), (p["n"] + F.least(at - p["i"], F.lit(0))).alias("n"))
-        return F.when(word.isin(*known), F.transform(F.element_at(table, word), start)).otherwise(none)
-
-    wanted = marks(templates, threshold)
+    table = F.create_map(*[c for mark, p in known.items() for c in (F.lit(mark), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in p]))])
 
     def of(words: Column) -> Column:
-        pairs = F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0)))
-        marked = F.filter(pairs, lambda i: F.concat(words[i], F.lit(" "), F.get(words, i + 1)).isin(*wanted))
-        spans = F.array_distinct(F.flatten(F.transform(words, laid)))
-        near = lambda both: F.filter(both["spans"], lambda s: F.exists(both["marked"], lambda i: (i >= s["start"]) & (i <= s["start"] + s["n"] - 2)))
-        # the struct stands in an array of one, so that its arrays are made once
-        kept = F.flatten(F.transform(F.array(F.struct(spans.alias("spans"), marked.alias("marked"))), near))
-        return F.transform(kept, lambda s: bigrams_of(F.slice(words, s["start"] + 1, s["n"])))
+        pair = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
+        # a run cut by the text's start is so much shorter
+        start = lambda i: lambda p: F.struct(F.greatest(i - p["i"], F.lit(0)).alias("start"), (p["n"] + F.least(i - p["i"], F.lit(0))).alias("n"))
+        marked = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: pair(i).isin(*known))
+        spans = F.array_distinct(F.flatten(F.transform(marked, lambda i: F.transform(F.element_at(table, pair(i)), start(i)))))
+        return F.transform(spans, lambda s: bigrams_of(F.slice(words, s["start"] + 1, s["n"])))
 
     # the words stand in an array of one, so that they are split once
     return F.flatten(F.transform(F.array(words_of(text)), of))
 
 
-def matches(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+def matches(text: Column, templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """The text's matching segments: array of (dice, name), the best template of each."""
     none = F.array().cast("array<struct<minus:double,name:string>>")
     grams = {name: g for name, t in sorted(templates.items()) if (g := template_bigrams(t))}
@@ -190,7 +180,7 @@ def matches(text: Column, templates: dict[str, str] = TEMPLATES, threshold: floa
     return F.when(F.lower(text).rlike(hint), found).otherwise(none)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_matches, license (best match, else null), dice, licenses (all names, by alphabet) of every row."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), matches(text_of(text_column), templates, threshold).alias("found"))
     top = F.array_min("found")
