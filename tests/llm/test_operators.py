@@ -567,3 +567,188 @@ def test_pipeline(spark):
         out.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u2").tolist()))
     assert {i: [x for _, ids in sorted(v) for x in ids] for i, v in out.items()} == final
     assert [n for n, _ in p.STAGES][0] == "quality_rules" and len(p.STAGES) == 5
+
+
+def table_rows(spark, name, *cols):
+    return [tuple(r[c] for c in cols) for r in spark.read.parquet(f"{SF}/{name}.parquet").collect()]
+
+
+def test_registered_document_queries(spark):
+    """The registered queries over a whole table against plain versions."""
+    docs = table_rows(spark, "documents", "doc_id", "text")
+    run = {name: f for name, f in queries.queries().items()}
+    byte, word = library(queries.BYTE_BPE), library(queries.WORD_BPE)
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+
+    def base(t):
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        kinds = ("assign", "access", "hex")
+        text = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found))
+        return *(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(text.encode()).hexdigest()
+
+    got = run["op1_secret_scan"](spark, SF)
+    assert bag(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == Counter((i, *base(t or "")) for i, t in docs)
+
+    ledger = run["op2_quality_rules"](spark, SF)
+    measured = {i: brute_quality(t or "") for i, t in docs}
+    assert bag(ledger, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == Counter((i, *m) for i, m in measured.items())
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in ledger.collect())
+
+    expected, at = [], 0
+    for i, t in sorted(docs):
+        ids = [*byte.encode(t or "", add_special_tokens=False).ids, queries.BYTE_END]
+        expected.append((i, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert bag(run["op4_token_store"](spark, SF), "doc_id", "start", "n_tokens", "ids_crc32") == Counter(expected)
+
+    coded = {i: word.encode(t or "", add_special_tokens=False).ids for i, t in docs}
+    pieces, filled = run["op5_packing"](spark, SF).collect(), Counter()
+    got = {}
+    for p in pieces:
+        filled[p.sequence_id] += p.length
+        ids = [*coded[p.doc_id], queries.WORD_END][p.start : p.start + p.length]
+        assert p.ids_crc32 == crc(ids) and p.doc_tokens == len(coded[p.doc_id]) + 1
+        got.setdefault(p.doc_id, []).append((p.start, p.length))
+    assert sorted(filled) == list(range(len(filled))) and all(n == 2048 or n & (n - 1) == 0 for n in filled.values())
+    for i, ids in coded.items():
+        ends = [0, *(a + n for a, n in sorted(got[i]))]
+        assert [a for a, _ in sorted(got[i])] == ends[:-1] and ends[-1] == len(ids) + 1
+
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    expected = Counter((i, len(ids), digest(np.array(ids, "<u4").tobytes()), digest(word.decode(ids, skip_special_tokens=False).encode())) for i, ids in coded.items())
+    assert bag(run["op8_bpe"](spark, SF), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected
+
+    fps = {i: brute_fingerprint(t or "") for i, t in docs}
+    root, least = brute_components(set(fps.values())), {}
+    for i, f in fps.items():
+        least[root[f]] = min(i, least.get(root[f], i))
+    assert bag(run["op9_simhash"](spark, SF), "doc_id", "fingerprint", "component_id") == Counter((i, f"{f:016x}", least[root[f]]) for i, f in fps.items())
+
+    ablated = {(r.policy, r.rule): r for r in run["quality_ablation"](spark, SF).collect()}
+    assert {v for v, _ in ablated} == set(quality.POLICIES)
+    for version, mask in quality.POLICIES.items():
+        bits = [r.failed_bits & mask for r in ledger.collect()]
+        for name, bit in quality.BIT.items():
+            if bit & mask:
+                r = ablated[version, name]
+                assert (r.n_docs, r.n_rejected, r.n_failed, r.n_failed_alone) == (len(docs), sum(b > 0 for b in bits), sum(b & bit > 0 for b in bits), sum(b == bit for b in bits))
+
+
+def test_registered_conversations(spark):
+    said = "\\### Assistant: </turn> ok"
+    rows = [*table_rows(spark, "conversations", "conv_id", "turn", "role", "text"), (-7, 0, "user", said), (-7, 1, "assistant", said)]
+    expected = Counter()
+    for c in {r[0] for r in rows}:
+        turns = sorted((t, r, x or "") for i, t, r, x in rows if i == c)
+        body, loss = "".join(f"{r}\n{x}\n" for _, r, x in turns), "".join(x for _, r, x in turns if r == "assistant")
+        expected[c, len(turns), hashlib.sha256(body.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()] += 1
+    assert bag(queries.op6_chat_windows(spark, SF), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == expected
+
+
+def test_planted_secrets(spark):
+    """Of 400 texts every fourth holds a secret that only novelty can find; long ordinary words stand in the same places."""
+    rng = random.Random(12)
+    words = "the people who came over here said that every letter from their government would be answered within a week".split()
+    ordinary = ["organisation", "transportation", "responsibility", "misunderstanding", "administration", "getUserAuthenticationToken", "0000000000000000"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, planted = [], {}
+    for i in range(400):
+        text = " ".join(rng.choice(words) for _ in range(60))
+        if i % 4 == 0:
+            planted[i] = "".join(rng.choice(letters[: 52 if i % 8 else 62]) for _ in range(rng.randrange(16, 60)))
+        text += " " + rng.choice(["Bearer", "the secret", "password is", "api key for", "passphrase"]) + " " + planted.get(i, rng.choice(ordinary)) + " "
+        rows.append((i, text + " ".join(rng.choice(words) for _ in range(60))))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in secret_scan.scan(table).collect()}
+    assert {i for i, s in found.items() if s} == set(planted)
+    for i, key in planted.items():
+        start = rows[i][1].index(key)
+        assert found[i] == f"novel:{start}:{start + len(key)}"
+    assert not any(k in r.text for r in secret_scan.redact(table).collect() for k in planted.values())
+
+
+def test_redaction_with_other_length_columns(spark):
+    text = "a password=abcdefgh b"
+    for kind, value in (("string", "x"), ("double", 1.5), ("tinyint", 3), ("array<int>", [1])):
+        df = spark.createDataFrame([(1, text, value)], f"doc_id bigint, text string, n_chars {kind}")
+        r = secret_scan.redact(df).first()
+        assert r.text == "a [SECRET] b" and r.n_chars == value
+    r = secret_scan.redact(spark.createDataFrame([(1, text, 21)], "doc_id bigint, text string, n_chars int")).first()
+    assert r.n_chars == len(r.text)
+
+
+def test_many_url_rules(spark, tmp_path):
+    rng = random.Random(7)
+    rules = {(rng.choice(["block", "allow"]), f"h{rng.randrange(40_000)}.example.{rng.choice(['com', 'org'])}", f"/p{rng.randrange(30)}/") for _ in range(100_000)}
+    verdicts = {}
+    for v, h, p in sorted(rules):
+        verdicts.setdefault((h, p), v)
+    rules = [(v, h, p) for (h, p), v in verdicts.items()]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    (tmp_path / "labels.txt").write_text("# hosts\nBad-Host  # one\n\nbad-host\nworse\n")
+    labels = urls.labels_of(spark.read.text(str(tmp_path / "labels.txt")))
+    assert labels == ("bad-host", "worse") and set(urls.rules_of(table)) == set(rules)
+    rows = [(i, f"https://{rng.choice(['', 'x.'])}h{rng.randrange(60_000)}.example.com/p{rng.randrange(40)}/q") for i in range(3000)]
+    rows += [(3000, "http://a.bad-host.io/"), (3001, "http://worse/"), (3000, "http://a.bad-host.io/"), (None, None)]
+    pages = spark.createDataFrame([(*r, "mine", "yours") for r in rows], "page_id bigint, url string, host string, verdict string")
+    got = urls.classify(pages, rules=urls.rules_of(table), bad_labels=labels)
+
+    def brute(url):
+        if url is None:
+            return None, "allow"
+        host, _, path = url.split("://", 1)[1].partition("/")
+        key = (host.removeprefix("x."), "/" + path[: path.index("/") + 1] if "/" in path else "/")
+        if key in verdicts:
+            return "".join(key), verdicts[key]
+        return None, "block" if set(host.split(".")) & set(labels) else "allow"
+
+    assert bag(got, "page_id", "rule", "verdict") == Counter((i, *brute(u)) for i, u in rows)
+    joined = urls.match(pages, table, 4, sorted({len(p) for _, _, p in rules}))
+    assert bag(joined, "page_id", "rule", "verdict") == Counter((i, *brute(u)) for i, u in rows if brute(u)[0])
+    twice = len(spark.sparkContext.listFiles)
+    urls.classify(pages, rules=urls.rules_of(table), bad_labels=labels)
+    assert len(spark.sparkContext.listFiles) == twice
+    assert urls.classify(pages.limit(0)).count() == 0 and urls.match(pages.limit(0), table, 4, [1]).count() == 0
+
+
+def test_full_licenses(spark):
+    import textwrap
+
+    rows = []
+    for i, (name, text) in enumerate(licenses.ALL_TEMPLATES.items()):
+        wrapped = "\n".join(f" * {x}" for part in text.split("\n\n") for x in [*textwrap.wrap(part, 70), ""])
+        rows.append((i, f"Copyright 2021 Some Body\n{wrapped}\nint main() {{ return 0; }}", 1.0, "mine"))
+    rows += [(1000, "ordinary words of no license at all " * 9, None, None), (1001, None, None, None), (1001, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, dice double, license string")
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    for i, name in enumerate(licenses.ALL_TEMPLATES):
+        assert name in got[i].licenses.split(","), name
+    assert len(licenses.ALL_TEMPLATES) > len(licenses.TEMPLATES) and got[1000].n_matches == got[1001].n_matches == 0
+    assert licenses.scan(table.limit(0)).count() == 0 and licenses.scan(table, templates={}).where("n_matches > 0").count() == 0
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from chronolith.llm import common
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda key: folder)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert common.scratch(session("local[4]", None)) and common.scratch(session("spark://h:1", "s3a://b/c")).startswith("s3a://b/c/")
+    for master in ("spark://h:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            common.scratch(session(master, None))
+
+
+def test_packing_by_more_tasks(docs, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_BYTES", 4096)
+    pieces = packing.pack(docs, queries.vocabulary(queries.WORD_BPE), 1)
+    sizes = Counter()
+    for p in pieces.collect():
+        sizes[p.sequence_id] += p.length
+    assert sorted(sizes) == list(range(len(sizes))) and all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+    assert pieces.rdd.getNumPartitions() > 4
