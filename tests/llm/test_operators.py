@@ -752,3 +752,25 @@ def test_packing_by_more_tasks(docs, monkeypatch):
         sizes[p.sequence_id] += p.length
     assert sorted(sizes) == list(range(len(sizes))) and all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
     assert pieces.rdd.getNumPartitions() > 4
+
+
+def test_long_conversations_are_spread(spark):
+    """Placed by ranges, every conversation has the windows that one task gives it."""
+    rng = random.Random(21)
+    rows = []
+    for c in range(40):
+        n = rng.choice([1, 2, 5, 40]) if c else 3000  # the first holds most of all turns
+        if c % 3 == 0:
+            rows.append((c or None, None if c % 2 else -1, "system", "s" * rng.choice([0, 50, 3000, 5000])))
+        for i in range(n):
+            size = rng.choice([0, 1, 200, 2400, 3500, 9000]) if c % 4 else rng.randrange(1, 900)
+            rows.append((c or None, rng.choice([None, i, i // 2]), rng.choice(["user", "assistant", "system", ""]), rng.choice([None, "x" * size, f"{i} " + "é" * (size // 3)])))
+    rows += [(7, 3, "user", "the same")] * 30
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6).cache()
+    plain, spread = (chat.windows(table, long=n) for n in (1 << 40, 0))
+    key = lambda r: (r.conv_id is not None, r.conv_id or 0, r.window)
+    a, b = (sorted(map(tuple, df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])) for df in (plain, spread))
+    assert len(a) > 300 and a == b
+    some = sorted(chat.windows(table, long=35).collect(), key=key)
+    assert [tuple(r) for r in some] == a
+    assert chat.windows(table.limit(0), long=0).count() == 0
