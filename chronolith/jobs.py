@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import sys
 import time
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from .ml.pipeline import AWARDS_COHORT, AWARDS_THRESHOLDS, HIT_COHORT, HIT_THRES
 from .operators import analytics, enrich, explode, history, quality, rollup
 from .schemas import FEATURE_VERSION, HIGH_SCORE, KNOWN_ITEMS, KNOWN_SCORE, NAMES, PRINCIPALS, RATINGS, TITLES
 from .session import build_session
-from .sources.lake import Lake, default_root, storage_errors
+from .sources.lake import Lake, default_root, storage_backend, storage_errors
 from .sources.readers import read_awards, read_parquet, read_tsv
 from .sources.sinks import dump_plan, publish, write_metrics
 
@@ -155,6 +158,18 @@ def run(spark: SparkSession, lake: Lake, steps: list[str] | None = None, least_f
     return {name: STEPS[name](spark, lake) for name in (steps or list(STEPS))}
 
 
+def command(root: str, steps: Sequence[str] = (), backend: str | None = None, archive: str | None = None, conf: Mapping[str, str] | None = None) -> list[str]:
+    """The command line of a run: Python on one machine, spark-submit to YARN in client mode on a cluster.
+
+    ``archive`` is a zip of the package for machines where it is not installed.
+    """
+    args = [root, *steps]
+    if storage_backend(backend) == "local":
+        return [sys.executable, "-m", __package__, *args]
+    given = [x for key, value in sorted((conf or {}).items()) for x in ("--conf", f"{key}={value}")]
+    return ["spark-submit", "--master", "yarn", "--deploy-mode", "client", *given, *(["--py-files", archive] if archive else []), os.path.join(os.path.dirname(os.path.abspath(__file__)), "__main__.py"), *args]
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="python -m chronolith.jobs")
     parser.add_argument("root", help="URI of the data lake; `default` is DATA_ROOT or a folder of STORAGE_BACKEND")

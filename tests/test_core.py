@@ -473,3 +473,38 @@ def test_entry_does_not_hide_import_errors(tmp_path):
     if "op1_" in whole.stdout:
         broken = copied(tmp_path / "broken", "regex")
         assert broken.returncode and "no_such_regex" in broken.stderr
+
+
+def test_fetch(spark, tmp_path):
+    from chronolith.sources import fetch
+
+    source, staging = tmp_path / "source", tmp_path / "staging"
+    source.mkdir()
+    staging.mkdir()
+    with gzip.open(source / "a.tsv.gz", "wt") as f:
+        f.write("x\ty\n" * 5000)
+    (source / "b.tsv").write_text("z")
+    good = (source / "a.tsv.gz").read_bytes()
+    (staging / "a.tsv.gz").write_bytes(good[:50])  # as an interrupted run leaves it
+    target = lake.Location(spark, str(tmp_path / "raw"))
+    sums = fetch.fetch(source.as_uri(), ["a.tsv.gz", "b.tsv"], str(staging), target)
+    assert (tmp_path / "raw" / "a.tsv.gz").read_bytes() == good and sums["b.tsv"] == fetch.sha256(source / "b.tsv")
+    assert (target / "SHA256SUMS").read_text().splitlines()[0] == f"{sums['a.tsv.gz']}  a.tsv.gz" and (target / "downloaded_at_utc.txt").exists()
+    (source / "b.tsv").unlink()  # staged already
+    assert fetch.fetch(source.as_uri(), ["b.tsv"], str(staging), target)["b.tsv"] == sums["b.tsv"]
+    (source / "c.gz").write_bytes(good[:60])
+    with pytest.raises(OSError, match="damaged"):
+        fetch.fetch(source.as_uri(), ["c.gz"], str(staging), target)
+    with pytest.raises(OSError):
+        fetch.fetch(source.as_uri(), ["none"], str(staging), target)
+
+
+def test_commands(monkeypatch):
+    import subprocess
+    import sys
+
+    assert jobs.command("/data", ["bronze"], "local")[1:] == ["-m", "chronolith", "/data", "bronze"]
+    line = jobs.command("hdfs:///d", backend="hdfs", archive="p.zip", conf={"a.b": "1"})
+    assert line[:7] == ["spark-submit", "--master", "yarn", "--deploy-mode", "client", "--conf", "a.b=1"] and line[-4:-2] == ["--py-files", "p.zip"] and line[-1] == "hdfs:///d"
+    shown = subprocess.run([sys.executable, line[-2], "--help"], capture_output=True, text=True, cwd="/")
+    assert "root" in shown.stdout and shown.returncode == 0
