@@ -110,5 +110,70 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTIT
 FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)"""
 
 
+#: doc_id, the measurements and failed_bits of every document.
+LEDGER_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, t, [x FOR x IN regexp_split_to_array(t, '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+  [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+windows AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM s)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS k FROM windows) WHERE k > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+m AS (SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
+  FROM s LEFT JOIN covered ON s.doc_id = covered.doc_id),
+"""
+
+
+def _ledger_sql() -> str:
+    bits = " | ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(quality.RULES))
+    return LEDGER_SQL + f"ledger AS (SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM m)"
+
+
+def _op2_sql() -> str:
+    return _ledger_sql() + f" SELECT *, failed_bits & {quality.BASE} <> 0 AS base_failed, failed_bits & {quality.POLICIES[quality.LATEST]} = 0 AS kept FROM ledger"
+
+
+def _ablation_sql() -> str:
+    rows = []
+    for version, mask in sorted(quality.POLICIES.items()):
+        for name, bit in quality.BIT.items():
+            if bit & mask:
+                count = lambda condition: f"CAST(count(*) FILTER ({condition}) AS BIGINT)"
+                rows.append(f"SELECT CAST({version} AS INTEGER) AS policy, CAST(count(*) AS BIGINT) AS n_docs, {count(f'failed_bits & {mask} <> 0')} AS n_rejected, '{name}' AS rule, {count(f'failed_bits & {bit} <> 0')} AS n_failed, {count(f'failed_bits & {mask} = {bit}')} AS n_failed_alone FROM ledger")
+    return _ledger_sql() + " " + " UNION ALL ".join(rows)
+
+
+def _op6_sql() -> str:
+    """The digests from the table itself, and the length of all windows from slots of tokens."""
+    said = "\\### Assistant: </turn> ok"
+    escaped = lambda c: f"replace(replace(replace({c}, '\\', '\\b'), '<turn', '\\lturn'), '</turn', '\\l/turn')"
+    role = f"replace(replace({escaped('role')}, '>', '\\g'), chr(10), '\\n')"
+    marks = len(chat.OPEN) + len(chat.END) + len(chat.CLOSE)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}')),
+sized AS (SELECT *, strlen(text) AS b, strlen(regexp_replace(text, '[A-Za-z ]+', '', 'g')) AS rest,
+  length({role}) + length({escaped('text')}) + {marks} AS size FROM c),
+n AS (SELECT *, CAST(ceil((b - rest) / 4) AS BIGINT) + rest + {chat.OVERHEAD} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM sized),
+sys AS (SELECT *, pos = 1 AND role = 'system' AS system FROM n),
+head AS (SELECT conv_id, coalesce(max(n) FILTER (system), 0) AS head FROM sys GROUP BY conv_id),
+ends AS (SELECT sys.*, head, greatest(1, {chat.BUDGET - chat.HISTORY} - head) AS stride, CASE WHEN system THEN 0 ELSE n END AS fresh,
+  sum(CASE WHEN system THEN 0 ELSE n END) OVER (PARTITION BY sys.conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto
+  FROM sys JOIN head ON sys.conv_id = head.conv_id),
+slots AS (SELECT *, CAST(floor(greatest(upto - 1, 0) / stride) AS BIGINT) AS slot FROM ends),
+full_ AS (SELECT conv_id AS fc, slot AS fs, sum(fresh) AS slot_sum FROM slots GROUP BY 1, 2),
+parts AS (SELECT slots.*, NOT (NOT system AND upto - n < slot * stride AND slot_sum > stride) AS part FROM slots JOIN full_ ON conv_id = fc AND slot = fs),
+wins AS (SELECT conv_id AS wc, slot AS ws, part AS wp, row_number() OVER (PARTITION BY conv_id ORDER BY slot, part) AS window_, sum(fresh) AS window_sum, max(upto) AS window_end, max(head) AS h
+  FROM parts GROUP BY 1, 2, 3),
+room AS (SELECT *, lead(window_sum) OVER (PARTITION BY wc ORDER BY window_) AS next_sum, count(*) OVER (PARTITION BY wc) AS last_ FROM wins),
+times AS (SELECT parts.*, CASE WHEN system THEN last_ WHEN next_sum IS NOT NULL AND window_end - upto + n <= least({chat.HISTORY}, {chat.BUDGET} - h - next_sum) THEN 2 ELSE 1 END AS times
+  FROM parts JOIN room ON conv_id = wc AND slot = ws AND part = wp)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size * times) AS BIGINT) AS formatted_chars
+FROM times GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _op3_sql(), "op7_exact_dedup": OP7_SQL}
+    return {"op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op6_chat_windows": _op6_sql(), "op7_exact_dedup": OP7_SQL, "quality_ablation": _ablation_sql()}

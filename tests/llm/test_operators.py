@@ -774,3 +774,23 @@ def test_long_conversations_are_spread(spark):
     some = sorted(chat.windows(table, long=35).collect(), key=key)
     assert [tuple(r) for r in some] == a
     assert chat.windows(table.limit(0), long=0).count() == 0
+
+
+def test_windows_against_sql(spark):
+    """Long conversations, which the driver's tables lack, in both placements against the SQL."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(31)
+    rows = [(c, i, "system" if i == 0 and c % 2 else rng.choice(["user", "assistant"]), rng.choice(["x", "é", "<turn ", "\\ "]) * rng.choice([0, 3, 300, 1200, 4000])) for c in range(12) for i in range(150)]
+    rows += [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    names = ["conv_id", "turn", "role", "text"]
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows[:-2], columns=names))
+    expected = con.execute(queries.oracle_sql()["op6_chat_windows"])
+    cols = [d[0] for d in expected.description]
+    wanted = Counter(expected.fetchall())
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for long in (0, 1 << 40):
+        got = chat.digests(chat.windows(table, long=long))
+        assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == wanted
