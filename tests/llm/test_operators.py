@@ -794,3 +794,44 @@ def test_windows_against_sql(spark):
     for long in (0, 1 << 40):
         got = chat.digests(chat.windows(table, long=long))
         assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == wanted
+
+
+def widest_match(text, templates):
+    """The best Dice of any run of words as long as a template, at any place, with that template (0 below the threshold)."""
+    words = licenses.template_words(text)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    best = 0.0
+    for t in templates.values():
+        grams, n = set(licenses.template_bigrams(t)), len(licenses.template_words(t))
+        need = len(grams) * licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+        ahead = np.concatenate(([0], np.cumsum([p in grams for p in pairs])))
+        for start in range(max(1, len(words) - n + 1)):
+            end = min(start + n - 1, len(pairs))
+            if ahead[end] - ahead[start] >= need - 1e-9:
+                own = set(pairs[start:end])
+                best = max(best, 2 * len(own & grams) / (len(own) + len(grams)))
+    return best if best >= licenses.THRESHOLD - 1e-12 else 0.0
+
+
+def test_license_recall(spark):
+    """Against every run of words: the registered query, and templates with words changed, left out and added in running text."""
+    docs = table_rows(spark, "documents", "doc_id", "text")
+    got = {r.doc_id: r for r in queries.op10_license_scan(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        assert (widest_match(t or "", licenses.ALL_TEMPLATES) > 0) <= (got[i].n_matches > 0), i
+    rng, rows = random.Random(17), []
+    filler = "some plain words that stand before or after it in the same line and say nothing at all about terms".split()
+    for name, t in licenses.ALL_TEMPLATES.items():
+        for _ in range(8):
+            words = t.split()
+            for _ in range(rng.randrange(1, 2 + len(words) // 14)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([["changed"], [], [words[at], "added"]])
+            body = rng.choices(filler, k=30) + words + rng.choices(filler, k=30)
+            rows.append((len(rows), " ".join(body), name))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, name string")
+    found = {r.doc_id: r.n_matches for r in licenses.scan(table).collect()}
+    there = [i for i, t, _ in rows if widest_match(t, licenses.ALL_TEMPLATES)]
+    assert len(there) > 150 and sum(found[i] > 0 for i in there) >= 0.97 * len(there)
+    assert sum(found[i] > 0 for i, _, _ in rows) <= 1.05 * len(there)
