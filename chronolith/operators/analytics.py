@@ -17,9 +17,9 @@ def with_medians(rows: DataFrame, keys: Sequence[str], out: list[Column], median
     """The groups' aggregates and medians (name -> column): by percentile_approx, or exact by ranks."""
     if not exact:
         return rows.groupBy(*keys).agg(*out, *[F.percentile_approx(column, 0.5).alias(name) for name, column in medians.items()])
-    found = rows.groupBy(*keys).agg(*out)
+    found, total = rows.groupBy(*keys).agg(*out), rows.count()
     for name, column in medians.items():
-        found = found.join(quantiles(rows, keys, column, 0.5, name), [*keys], "left")
+        found = found.join(quantiles(rows, keys, column, 0.5, name, total), [*keys], "left")
     return found
 
 

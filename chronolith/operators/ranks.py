@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ranges for each shuffle partition, and sampled rows for each range.
 RANGES, PER_RANGE = 2, 32
+#: Rows up to which one range serves.
+ONE_RANGE = 200_000
 
 
 def splitters(rows: DataFrame, keys: Sequence[str], total: int) -> list[tuple]:
@@ -16,6 +18,8 @@ def splitters(rows: DataFrame, keys: Sequence[str], total: int) -> list[tuple]:
 
     They only deal rows to tasks; no result depends on which they are.
     """
+    if total <= ONE_RANGE:
+        return []
     ranges = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = 2 * ranges * PER_RANGE
     sample = rows.select(*keys).sample(min(1.0, ranges * PER_RANGE / max(total, 1)), 17).limit(most)
@@ -26,8 +30,6 @@ def splitters(rows: DataFrame, keys: Sequence[str], total: int) -> list[tuple]:
 
 def range_of(rows: DataFrame, keys: Sequence[str], cuts: list[tuple]) -> Column:
     """How many of the cuts a row's keys reach; NULL comes first, as it does in a sort."""
-    if not cuts:
-        return F.lit(0)
     kinds = {k: rows.schema[k].dataType for k in keys}
     literals = [F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(keys, cut)]) for cut in cuts]
     at = F.struct(*[F.col(k).alias(k) for k in keys])
@@ -37,10 +39,14 @@ def range_of(rows: DataFrame, keys: Sequence[str], cuts: list[tuple]) -> Column:
 def running(rows: DataFrame, keys: Sequence[str], values: Sequence[str], total: int) -> DataFrame:
     """The rows with ``before_V`` for each value: its sum over all rows with smaller keys, of which no two rows share any.
 
-    ``total`` is about the number of rows, to size the sample.  Each range is summed
-    by its own task; the ranges' totals, one row each, are summed in one.
+    ``total`` is about the number of rows, to size the sample; up to ONE_RANGE rows are
+    one task's.  Of more, each range is summed by its own task; the ranges' totals, one
+    row each, are summed in one.
     """
     cuts = splitters(rows, keys, total)
+    if not cuts:
+        all_before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(all_before), F.lit(0)) for v in values})
     dealt = rows.withColumn("range_", range_of(rows, keys, cuts))
     inside = Window.partitionBy("range_").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("range_").agg(*[F.sum(v).alias(f"all_{v}") for v in values])
@@ -51,14 +57,15 @@ def running(rows: DataFrame, keys: Sequence[str], values: Sequence[str], total:
     return joined.withColumns({f"before_{v}": F.col(f"before_{v}") + F.col(f"start_{v}") for v in values}).drop("range_", *[f"start_{v}" for v in values])
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], column: str, p: float, name: str) -> DataFrame:
+def quantiles(rows: DataFrame, keys: Sequence[str], column: str, p: float, name: str, total: int | None = None) -> DataFrame:
     """Each group's exact discrete ``p`` percentile of a column: the least value that a share ``p`` of it does not exceed.
 
     Ranks come from counts by value, so a group is spread over as many tasks as its
-    values need.  Groups without a value are missing.
+    values need.  Groups without a value are missing.  ``total`` is about the number of
+    rows, counted if not given.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(counts, [*keys, column], ["n"], rows.count())
+    ranked = running(counts, [*keys, column], ["n"], rows.count() if total is None else total)
     groups = ranked.groupBy(*keys).agg(F.min("before_n").alias("first_"), F.sum("n").alias("size_"))
     joined = ranked.join(groups, [*keys]) if keys else ranked.join(F.broadcast(groups))
     reached = joined.where(F.col("before_n") + F.col("n") - F.col("first_") >= p * F.col("size_") - 1e-9 * F.col("size_"))

@@ -325,9 +325,11 @@ def test_entry(spark):
     assert e.entry(spark).limit(1).count() == 1
 
 
-def test_running_sums_and_quantiles(spark):
+@pytest.mark.parametrize("one_range", [0, 200_000])
+def test_running_sums_and_quantiles(spark, monkeypatch, one_range):
     from chronolith.operators import ranks
 
+    monkeypatch.setattr(ranks, "ONE_RANGE", one_range)
     r = random.Random(4)
     values = [(r.choice([None, *range(9)]), r.choice("ab"), r.choice([None, 0.5, 1.5, 1.5, 7.0, float(r.randrange(300))])) for _ in range(3000)]
     rows = spark.createDataFrame(values, "k int, g string, x double").withColumn("id", F.monotonically_increasing_id())
@@ -342,8 +344,9 @@ def test_running_sums_and_quantiles(spark):
     assert ranks.running(rows.limit(0).withColumn("n", F.lit(1)), ["k"], ["n"], 0).count() == 0
 
 
-def test_ranked_plans_have_no_single_task_over_rows(spark):
+def test_ranked_plans_have_no_single_task_over_rows(spark, monkeypatch):
     """What meets in one task is a row for each range, made by an aggregation by range."""
+    monkeypatch.setattr("chronolith.operators.ranks.ONE_RANGE", 0)
     rows = spark.range(2000).select(F.col("id").alias("tconst"), (F.col("id") % 700).cast("double").alias("s"), (F.col("id") % 2).cast("int").alias("is_hit"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
