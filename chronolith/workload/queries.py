@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import jobs
 from ..functions import clean, labels
 from ..ml import evaluate
 from ..ml.pipeline import HIT_THRESHOLDS, candidates, feature_pipeline
 from ..operators import analytics, enrich, explode, history, quality, rollup
+from ..schemas import AWARDS, NAMES, PRINCIPALS, RATINGS, TITLES
+from ..sources.lake import Lake, workspace
+from ..sources.readers import inventory, read_awards, read_tsv
+from ..sources.sinks import publish
+from ..streaming import ingest
 from .tables import view
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,6 +355,164 @@ def history_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("k", F.row_number().over(first)).where("k <= 3").drop("k")
 
 
+def raw_lake(spark: SparkSession, sf_dir: str, *names: str) -> Lake:
+    """A lake whose raw layer holds the views as the sources publish them: gzipped tab-separated text with a header."""
+    home = Lake(spark, workspace(spark)).create()
+    files = {"raw_titles": "title.basics", "raw_ratings": "title.ratings", "raw_quotes": "title.ratings", "raw_principals": "title.principals", "raw_names": "name.basics"}
+    for name in names:
+        # no quoting: the sources do not quote either
+        view(spark, sf_dir, name).write.options(header=True, sep="\t", quote="\u0000", emptyValue="", compression="gzip").csv(home.at("raw", f"{files[name]}.tsv.gz").uri)
+    if not names:
+        view(spark, sf_dir, "award_rows").select("*", F.lit('say "x|y"').alias("Citation")).select(AWARDS.names).write.options(header=True, sep="\t", quoteAll=True, escape='"', emptyValue="", compression="none").csv(home.at("raw", "oscars.csv").uri)
+    return home
+
+
+def raw(spark: SparkSession, sf_dir: str, name: str, file: str, schema: StructType, **options: object) -> DataFrame:
+    return read_tsv(spark, raw_lake(spark, sf_dir, name).at("raw", f"{file}.tsv.gz").uri, schema, **options)
+
+
+@query
+def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles from their file: null marks, casts, films only, genre lists."""
+    rows = clean.prepare_titles(raw(spark, sf_dir, "raw_titles", "title.basics", TITLES))
+    return rows.withColumn("genres", F.array_join("genres", "/"))
+
+
+@query
+def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.prepare_ratings(raw(spark, sf_dir, "raw_ratings", "title.ratings", RATINGS))
+
+
+@query
+def raw_principals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.prepare_principals(raw(spark, sf_dir, "raw_principals", "title.principals", PRINCIPALS, partitions=8))
+
+
+@query
+def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clean.prepare_names(raw(spark, sf_dir, "raw_names", "name.basics", NAMES))
+    return rows.withColumns({c: F.array_join(c, "/") for c in ("primary_profession", "known_for_titles")})
+
+
+@query
+def streamed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream that runs twice and takes a file once."""
+    home = raw_lake(spark, sf_dir, "raw_names")
+    stream = ingest.tsv_stream(spark, home.at("raw", "name.basics.tsv.gz").uri, NAMES)
+    out, state = home.at("bronze", "names").uri, home.at("samples", "names_state").uri
+    for _ in range(2):
+        ingest.append_to(stream, out, state, clean.prepare_names).awaitTermination()
+    return spark.read.parquet(out).withColumns({c: F.array_join(c, "/") for c in ("primary_profession", "known_for_titles")})
+
+
+@query
+def raw_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a null mark the mark is text."""
+    rows = raw(spark, sf_dir, "raw_names", "name.basics", NAMES, null_mark=None)
+    return rows.select("nconst", "birthYear", "deathYear", "primaryProfession")
+
+
+@query
+def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a quote character quotes are text."""
+    return raw(spark, sf_dir, "raw_quotes", "title.ratings", RATINGS, quote="")
+
+
+@query
+def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inventory(spark, raw_lake(spark, sf_dir, "raw_names").at("raw", "name.basics.tsv.gz").uri, NAMES, count_rows=True)
+    return spark.range(1).select(F.lit(found["rows"]).cast("long").alias("rows"), F.lit(",".join(found["header"])).alias("header"), F.lit(found["size_bytes"] > 0).alias("sized"))
+
+
+@query
+def raw_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nominations from the award file, whose fields are quoted."""
+    return explode.award_nominations(read_awards(spark, raw_lake(spark, sf_dir).at("raw", "oscars.csv").uri))
+
+
+@query
+def published_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items validated, published twice and read again, with what the publication reports."""
+    home = Lake(spark, workspace(spark)).create()
+    place = home.at("silver", "items").uri
+    for _ in range(2):
+        done = publish(view(spark, sf_dir, "items"), place, lambda df: quality.validate(df, quality.key_checks("tconst")), root=home.base.uri)
+    back = spark.read.parquet(place)
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.sum("num_votes").alias("votes"), F.countDistinct("tconst").alias("films")).withColumns({"reported": F.lit(done["rows"]).cast("long"), "passed": F.lit(done["validation"]["passed"])})
+
+
+@query
+def bronze_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first job over raw files: films with their ratings, its metrics read back for the counts."""
+    home = raw_lake(spark, sf_dir, "raw_titles", "raw_ratings")
+    jobs.bronze(spark, home)
+    counts = spark.read.json(home.at("metrics", "baseline_metrics.json").uri, multiLine=True).select(F.col("row_counts.joined_movies_ratings").alias("counted"))
+    rows = spark.read.parquet(home.at("bronze", "movies_ratings").uri).withColumn("genres", F.array_join("genres", "/"))
+    return rows.crossJoin(F.broadcast(counts))  # one row
+
+
+@query
+def features_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two jobs over raw files: the enriched table with its features or their defaults."""
+    home = raw_lake(spark, sf_dir, "raw_titles", "raw_ratings", "raw_principals", "raw_names")
+    jobs.bronze(spark, home)
+    jobs.features(spark, home)
+    return rounded(spark.read.parquet(home.at("silver", "movies_enriched").uri).drop("primary_title", "original_title", "genres"))
+
+
+@query
+def enriched_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enrichment against its own baseline, and against one with a row and a column more."""
+    items, rows = view(spark, sf_dir, "items"), enriched(spark, sf_dir)
+    n = items.count()
+    found = [(name, len(r.errors), r.passed, r.details["row_count"]) for name, r in (("same", quality.validate_enriched(rows, n, items.columns)), ("more", quality.validate_enriched(rows, n + 1, [*items.columns, "missing"])))]
+    return spark.createDataFrame(found, "baseline string, errors int, passed boolean, rows long")
+
+
+@query
+def awards_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the awards enrichment, whose base has a repeated key too."""
+    base = table(spark, sf_dir, "customer").select(F.concat(F.lit("tt"), F.col("c_custkey").cast("string")).alias("tconst"), "c_mktsegment")
+    rows, n = enrich.awards_enriched_movies(base, award_features(spark, sf_dir)), base.count()
+    twice = rows.unionByName(rows.where("tconst = 'tt1'"))
+    found = [(name, len(r.errors), r.passed, r.details["row_count"]) for name, r in (("same", quality.validate_enriched(rows, n, base.columns)), ("repeated", quality.validate_enriched(twice, n, base.columns)))]
+    return spark.createDataFrame(found, "baseline string, errors int, passed boolean, rows long")
+
+
+@query
+def predictor_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The allowed predictors that a modeling frame has, as doubles."""
+    frame = labels.modeling_frame(enriched(spark, sf_dir).withColumn("genres", F.array(F.lit("Drama"), F.lit("Crime"))))
+    columns = labels.available_predictors(frame)
+    return rounded(labels.predictors_as_double(frame, columns).select("tconst", *columns))
+
+
+@query
+def imputed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature pipeline's vector, taken apart: values or the column's mean."""
+    columns = ["start_year", "runtime_minutes", "director_prior_rating_mean"]
+    frame = labels.predictors_as_double(enriched(spark, sf_dir), columns)
+    made = feature_pipeline(columns, label_col="is_hit").fit(frame).transform(frame)
+    values = vector_to_array("features")
+    return made.select("tconst", *[F.round(F.get(values, i), 6).alias(c) for i, c in enumerate(columns)])
+
+
+@query
+def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive scores from probability vectors."""
+    score = F.col("positive_score")
+    rows = view(spark, sf_dir, "scored").select("tconst", array_to_vector(F.array(1 - score, score)).alias("probability"))
+    return labels.with_positive_score(rows).select("tconst", "positive_score")
+
+
+@query
+def evaluated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts at a threshold, and both areas."""
+    rows = labels.apply_threshold(view(spark, sf_dir, "scored").where("label IS NOT NULL"), threshold=0.35)
+    found = evaluate.evaluate_predictions(rows, label_col="label")
+    return spark.createDataFrame([(*(found[c] for c in ("tp", "fp", "fn", "tn")), round(found["roc_auc"], 9), round(found["pr_auc"], 9))], "tp long, fp long, fn long, tn long, roc_auc double, pr_auc double")
+
+
 def model_estimators() -> dict[str, object]:
     """Two of the candidates, as the grid makes them."""
     grid = candidates("is_hit")

@@ -54,6 +54,45 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         "CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS label",
         "CAST(o_custkey % 100 AS DOUBLE) / 100 AS positive_score",
     )),
+    # the raw files, every field a string, NULL as the mark
+    "raw_titles": ("orders", (
+        "CAST(o_orderkey AS VARCHAR(20)) AS tconst",
+        "CASE WHEN o_orderkey % 6 = 0 THEN 'short' ELSE 'movie' END AS titleType",
+        "o_orderpriority AS primaryTitle",
+        "o_orderstatus AS originalTitle",
+        "'0' AS isAdult",
+        "CASE WHEN o_orderkey % 10 = 0 THEN concat(chr(92), 'N') ELSE CAST(year(o_orderdate) AS VARCHAR(20)) END AS startYear",
+        "concat(chr(92), 'N') AS endYear",
+        "CASE WHEN o_orderkey % 11 = 0 THEN concat(chr(92), 'N') WHEN o_orderkey % 13 = 0 THEN 'x1' ELSE CAST(o_custkey % 260 AS VARCHAR(20)) END AS runtimeMinutes",
+        "CASE WHEN o_orderkey % 7 = 0 THEN concat(chr(92), 'N') WHEN o_orderkey % 3 = 0 THEN 'Drama,Comedy' ELSE 'Drama' END AS genres",
+    )),
+    # a quote that never ends, which a reader must not follow over fields
+    "raw_quotes": ("orders", (
+        "CAST(o_orderkey AS VARCHAR(20)) AS tconst",
+        "CASE WHEN o_orderkey % 19 = 0 THEN concat('\"unclosed ', o_orderpriority) ELSE o_orderpriority END AS averageRating",
+        "CAST(o_custkey AS VARCHAR(20)) AS numVotes",
+    )),
+    "raw_ratings": ("orders", (
+        "CAST(o_orderkey AS VARCHAR(20)) AS tconst",
+        "CASE WHEN o_orderkey % 17 = 0 THEN concat(chr(92), 'N') ELSE CAST((o_orderkey * 7 + o_custkey) % 10 + 1 AS VARCHAR(20)) END AS averageRating",
+        "CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)) AS numVotes",
+    )),
+    "raw_principals": ("lineitem", (
+        "CAST(l_orderkey AS VARCHAR(20)) AS tconst",
+        "CAST(l_linenumber AS VARCHAR(20)) AS ordering",
+        "CAST(l_suppkey AS VARCHAR(20)) AS nconst",
+        "CASE l_linenumber % 9 WHEN 0 THEN 'actor' WHEN 1 THEN 'actress' WHEN 2 THEN 'director' WHEN 3 THEN 'writer' WHEN 4 THEN 'producer' WHEN 5 THEN 'composer' WHEN 6 THEN 'director' WHEN 7 THEN 'self' ELSE concat(chr(92), 'N') END AS category",
+        "concat(chr(92), 'N') AS job",
+        "concat('[', l_returnflag, ']') AS characters",
+    )),
+    "raw_names": ("supplier", (
+        "CAST(s_suppkey AS VARCHAR(20)) AS nconst",
+        "s_name AS primaryName",
+        "CASE WHEN s_suppkey % 4 = 0 THEN concat(chr(92), 'N') ELSE CAST(1900 + s_nationkey AS VARCHAR(20)) END AS birthYear",
+        "CASE WHEN s_suppkey % 5 = 0 THEN '19x' ELSE concat(chr(92), 'N') END AS deathYear",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'actor,writer' ELSE concat(chr(92), 'N') END AS primaryProfession",
+        "CASE WHEN s_suppkey % 2 = 0 THEN 'tt1' ELSE 'tt1,tt2' END AS knownForTitles",
+    )),
 }
 
 
