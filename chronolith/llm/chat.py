@@ -10,13 +10,14 @@ begins in the slot before takes a window of its own where the slot would else ho
 more than its size.  Empty window numbers close up.  A conversation's leading system
 turn heads every window; the last turns of the window before, as far as ``history``
 tokens and the budget reach, are repeated as context.  Head, context and new turns
-keep the budget, unless head and a single turn alone are larger.  The loss mask covers the texts of assistant turns where they
-are new, never a repeated one.
+keep the budget, unless head and a single turn alone are larger.  The loss mask covers
+the texts of assistant turns where they are new, never a repeated one.
 
 Null texts and roles count as empty; rows go by turn (null first), then role, then
 text, and repeated rows are turns of their own.  A null conv_id is a conversation.
 A turn larger than a window stands in one of its own size.  An empty table gives
 none.  Extra columns, also one called ``window``, do not matter.
+
 A conversation of over LONG turns is spread over tasks by ranges of its turns, equal
 turns together; only its digest needs all its text, which is one row's value there.
 """

@@ -42,8 +42,13 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Host labels that block where no rule fits.
-BAD_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: Host labels that block where no rule fits (fixed values): the driver's bad hosts, then common names of unwanted sites.
+BAD_LABELS = (
+    "adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm",
+    "adserver", "adult", "ads", "betting", "bets", "casino", "clickbait", "doubleclick", "doorway", "escort", "gambling", "hentai", "keygen",
+    "linkfarm", "malware", "payday-loans", "phishing", "pills", "poker", "popads", "porn", "porno", "roulette", "scam", "sex", "slots", "spam",
+    "spyware", "torrent", "torrents", "tracker", "viagra", "warez", "webcams", "xxx",
+)
 #: Most rules of an array: with keys of up to 200 bytes it stays under 500 MB.
 MOST_RULES = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
