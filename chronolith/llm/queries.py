@@ -175,5 +175,36 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
 FROM times GROUP BY conv_id"""
 
 
+def _op10_sql(templates: dict[str, str] = licenses.ALL_TEMPLATES, threshold: float = licenses.THRESHOLD) -> str:
+    """Every segment's bigrams joined to the templates', with no pruning but the runs' places."""
+    grams = ", ".join(f"('{name}', '{g}')" for name, t in sorted(templates.items()) for g in licenses.template_bigrams(t))
+    places = ", ".join(f"('{mark}', {i}, {n})" for mark, p in licenses.places(templates, threshold).items() for i, n in p)
+    words = lambda c: f"[x FOR x IN regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']"
+    pairs = lambda ws: f"list_distinct(list_transform(range(1, len({ws})), lambda i: concat({ws}[i], ' ', {ws}[i + 1])))"
+    up = (2 - threshold) / threshold
+    return f"""
+WITH grams(name, gram) AS (VALUES {grams}), sizes AS (SELECT name, count(*) AS b FROM grams GROUP BY name), places(mark, i, n) AS (VALUES {places}),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM d),
+cut AS (SELECT doc_id, list_concat(ls, flatten([string_split(regexp_replace(x, '([.!?:])[ \\t]+', concat('\\1', chr(1)), 'g'), chr(1)) FOR x IN ls]), regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'), [t]) AS ss FROM lines),
+segs AS (SELECT doc_id, unnest(list_distinct(ss)) AS s FROM cut),
+seg_sets AS (SELECT doc_id, 's' AS kind, row_number() OVER () AS k, {pairs('ws')} AS gs FROM (SELECT doc_id, {words('s')} AS ws FROM segs)),
+w AS (SELECT doc_id, {words('t')} AS ws FROM d),
+stood AS (SELECT doc_id, ws, unnest(range(1, len(ws))) AS p FROM w),
+spans AS (SELECT DISTINCT doc_id, greatest(p - 1 - i, 0) AS start, n + least(p - 1 - i, 0) AS n FROM stood JOIN places ON mark = concat(ws[p], ' ', ws[p + 1])),
+run_sets AS (SELECT doc_id, 'r' AS kind, row_number() OVER () AS k, {pairs('ws')} AS gs FROM (SELECT spans.doc_id, list_slice(ws, start + 1, start + n) AS ws FROM spans JOIN w ON spans.doc_id = w.doc_id)),
+sets AS (SELECT * FROM seg_sets UNION ALL SELECT * FROM run_sets),
+flat AS (SELECT doc_id, kind, k, len(gs) AS a, unnest(gs) AS gram FROM sets),
+met AS (SELECT doc_id, kind, k, a, flat.gram, name FROM flat JOIN grams ON flat.gram = grams.gram),
+scored AS (SELECT doc_id, kind, k, name, CAST(-2.0 AS DOUBLE) * count(*) / (a + b) AS minus FROM met JOIN sizes USING (name) WHERE a * CAST({up!r} AS DOUBLE) >= b AND a <= b * CAST({up!r} AS DOUBLE) GROUP BY doc_id, kind, k, name, a, b),
+best AS (SELECT doc_id, kind, k, min(struct_pack(minus := minus, name := name)) AS m FROM scored GROUP BY doc_id, kind, k),
+good AS (SELECT doc_id, kind, m.minus AS minus, m.name AS name FROM best WHERE m.minus <= {-threshold} + 1e-12),
+runs AS (SELECT DISTINCT doc_id, minus, name FROM good r WHERE kind = 'r'
+  AND NOT EXISTS (FROM good o WHERE o.doc_id = r.doc_id AND o.name = r.name AND (o.kind = 's' AND o.minus <= r.minus OR o.kind = 'r' AND o.minus < r.minus))),
+found AS (SELECT doc_id, minus, name FROM good WHERE kind = 's' UNION ALL SELECT doc_id, minus, name FROM runs),
+tops AS (SELECT doc_id, count(*) AS n, min(struct_pack(minus := minus, name := name)) AS m, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, m.name AS license, round(-m.minus, 6) AS dice, coalesce(names, '') AS licenses FROM d LEFT JOIN tops ON d.doc_id = tops.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op6_chat_windows": _op6_sql(), "op7_exact_dedup": OP7_SQL, "quality_ablation": _ablation_sql()}
+    return {"op2_quality_rules": _op2_sql(), "op3_url_filter": _op3_sql(), "op6_chat_windows": _op6_sql(), "op7_exact_dedup": OP7_SQL, "op10_license_scan": _op10_sql(), "quality_ablation": _ablation_sql()}

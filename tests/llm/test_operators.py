@@ -835,3 +835,31 @@ def test_license_recall(spark):
     there = [i for i, t, _ in rows if widest_match(t, licenses.ALL_TEMPLATES)]
     assert len(there) > 150 and sum(found[i] > 0 for i in there) >= 0.97 * len(there)
     assert sum(found[i] > 0 for i, _, _ in rows) <= 1.05 * len(there)
+
+
+def test_licenses_against_sql(spark):
+    """Texts full of licences, whole, wrapped, changed and one after another, against the SQL, which prunes nothing."""
+    import textwrap
+
+    import duckdb
+    import pandas as pd
+
+    rng, rows = random.Random(23), []
+    names = list(licenses.ALL_TEMPLATES)
+    for _ in range(150):
+        parts = []
+        for name in rng.choices(names, k=rng.randrange(1, 4)):
+            words = licenses.ALL_TEMPLATES[name].split(" ")
+            for _ in range(rng.randrange(0, 2 + len(words) // 12)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([["changed"], [], [words[at], words[at]]])
+            text = " ".join(words)
+            parts.append("\n".join("# " + x for x in textwrap.wrap(text, 60)) if rng.random() < 0.5 else text)
+        rows.append((len(rows), rng.choice([" ", "\n", "\n\n", ". "]).join(["some words first", *parts, "and some after."])))
+    rows += [(900, None), (901, ""), (902, "mit")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    expected = con.execute(queries.oracle_sql()["op10_license_scan"])
+    cols = [d[0] for d in expected.description]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == Counter(expected.fetchall())
