@@ -7,9 +7,9 @@ with the text around it.  Ordinary words and identifiers, or repetitions of what
 stands near, cost little; keys and passwords cost about their own length.  Every
 such string in reach of the word is measured; the reach goes on after a novel one.
 The lines of a private key block are measured as one and reported one by one.
-Copies after another sensitive word do not make a string familiar, and a string found
-novel is reported wherever it stands again; a copy under the same sensitive word, or
-under none, counts as text around.
+Copies after another sensitive word, or over REACH characters away, do not make a string
+familiar, and a string found novel is reported wherever it stands again; a nearer copy
+under the same sensitive word, or under none, counts as text around.
 
 A string is close if it begins at most REACH characters after the sensitive word, or
 after a novel string that is; what stands further is not measured.  A novel string of
@@ -143,7 +143,7 @@ def worded(candidate: str, known: set[str]) -> bool:
 
 
 def surroundings(text: str, start: int, end: int, words: list[str], sensitive: list[int]) -> str:
-    """The text around, without copies of ``words`` that stand as near after another sensitive word (by their ends)."""
+    """The text around, without copies of ``words`` that stand over REACH away, or as near after another sensitive word (by their ends)."""
     own = bisect_right(sensitive, start)
     reach = max(REACH, start - sensitive[own - 1])
     out = []
@@ -153,7 +153,8 @@ def surroundings(text: str, start: int, end: int, words: list[str], sensitive: l
             at = text.find(word, max(0, lo - len(word) + 1), hi + len(word) - 1)
             while at >= 0:
                 k = bisect_right(sensitive, at)
-                if k and k != own and at - sensitive[k - 1] <= reach or len(words) > 1 and k != own:
+                far = max(at - end, start - at - len(word)) > REACH
+                if far or k and k != own and at - sensitive[k - 1] <= reach or len(words) > 1 and k != own:
                     cuts.append((at, at + len(word)))
                 at = text.find(word, at + len(word), hi + len(word) - 1)
         for a, b in sorted(cuts):

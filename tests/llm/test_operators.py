@@ -863,3 +863,12 @@ def test_licenses_against_sql(spark):
     cols = [d[0] for d in expected.description]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == Counter(expected.fetchall())
+
+
+def test_secret_copies_in_plain_context():
+    key = "q8Zr2Lw9Xk4Tn7Vb1Yc6"
+    for between in ("\nthat was the phrase and it is used again below:\n", " " + "plain words " * 12):
+        for text in (f"passphrase: {key}{between}{key} end", f"{key}{between}passphrase: {key} end"):
+            assert key not in secret_scan.redacted(text) and len(secret_scan.spans_of(text)) == 2
+    word = "load_session_registry_for_handlers"
+    assert secret_scan.spans_of(f"the token {word} of the server, then {word} and {word} again for requests") == []
