@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from .. import jobs
 from ..functions import clean, labels
 from ..ml import evaluate
-from ..ml.pipeline import HIT_THRESHOLDS, candidates, feature_pipeline
+from ..ml.pipeline import HIT_THRESHOLDS, candidates, feature_pipeline, train
 from ..operators import analytics, enrich, explode, history, quality, rollup
 from ..schemas import AWARDS, NAMES, PRINCIPALS, RATINGS, TITLES
 from ..sources.lake import Lake, workspace
@@ -514,25 +514,20 @@ def evaluated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_estimators() -> dict[str, object]:
-    """Two of the candidates, as the grid makes them."""
-    grid = candidates("is_hit")
-    return {name: grid[name] for name in ("lr_0.01_0.0", "gbt_3_20")}
+    """The candidates of the production grid."""
+    return candidates("is_hit")
 
 
 @query
 def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small logistic regression and tree ensemble on the feature frame; one row each."""
+    """The grid fitted on the earliest years and compared on the next; the chosen one's locked threshold and test metrics beside it."""
     frame = labels.with_hit_label(enriched(spark, sf_dir), rating_min=7.0, votes_min=100_000)
     columns = ["runtime_minutes", "principal_count", "director_prior_rating_mean", "cast_prior_rating_mean"]
     frame = labels.predictors_as_double(frame.where("is_hit IS NOT NULL"), columns)
-    train, _, test = evaluate.temporal_split(frame, **SPLIT)
-    train, _ = evaluate.with_balanced_class_weights(train, label_col="is_hit")
+    _, document = train(frame, columns, label_col="is_hit", cohort=SPLIT, thresholds=HIT_THRESHOLDS, estimators=model_estimators())
+    test, threshold = document["test_metrics"], document["threshold_selection"]["selected"]["threshold"]
     out = []
-    for name, estimator in model_estimators().items():
-        pipeline = feature_pipeline(columns, label_col="is_hit")
-        model = pipeline.setStages([*pipeline.getStages(), estimator]).fit(train)
-        m = evaluate.evaluate_predictions(labels.with_positive_score(model.transform(test)), label_col="is_hit")
-        out.append((name, float(m["roc_auc"]), float(m["pr_auc"]), m["tp"] + m["fn"]))
-    return spark.createDataFrame(out, "candidate string, roc_auc double, pr_auc double, positives long")
-
-
+    for r in document["candidate_results"]:
+        chosen = r["candidate_id"] == document["selected_candidate"]["candidate_id"]
+        out.append((r["candidate_id"], r["algorithm"], float(r["roc_auc"]), float(r["pr_auc"]), chosen, *((float(threshold), float(test["roc_auc"]), test["positive_f1"], test["tp"] + test["fn"]) if chosen else (None,) * 4)))
+    return spark.createDataFrame(out, "candidate string, algorithm string, roc_auc double, pr_auc double, selected boolean, threshold double, test_roc_auc double, test_f1 double, test_positives long")

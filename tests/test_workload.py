@@ -50,3 +50,10 @@ def test_models_are_what_their_labels_name(spark):
     models = queries.model_estimators()
     assert models["lr_0.01_0.0"].getMaxIter() == 100
     assert (models["gbt_3_20"].getMaxDepth(), models["gbt_3_20"].getMaxIter()) == (3, 20)
+
+
+def test_model_grid_is_whole(spark):
+    rows = queries.queries()["model_candidates"](spark, SF).collect()
+    assert len(rows) == 8 and {r.algorithm for r in rows} == {"LogisticRegression", "GBTClassifier"}
+    best = max(rows, key=lambda r: (r.pr_auc, r.roc_auc))
+    assert [r.candidate for r in rows if r.selected] == [best.candidate] and 0 < best.threshold < 1 and best.test_positives > 0
