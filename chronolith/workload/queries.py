@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -446,9 +447,9 @@ def bronze_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first job over raw files: films with their ratings, its metrics read back for the counts."""
     home = raw_lake(spark, sf_dir, "raw_titles", "raw_ratings")
     jobs.bronze(spark, home)
-    counts = spark.read.json(home.at("metrics", "baseline_metrics.json").uri, multiLine=True).select(F.col("row_counts.joined_movies_ratings").alias("counted"))
+    counted = json.loads(home.at("metrics", "baseline_metrics.json").read_text())["row_counts"]["joined_movies_ratings"]
     rows = spark.read.parquet(home.at("bronze", "movies_ratings").uri).withColumn("genres", F.array_join("genres", "/"))
-    return rows.crossJoin(F.broadcast(counts))  # one row
+    return rows.withColumn("counted", F.lit(counted).cast("long"))
 
 
 @query
