@@ -20,6 +20,7 @@ length are compared whole; extra columns, also such as ``dice``, do not matter.
 
 from __future__ import annotations
 
+import json
 import re
 from importlib.resources import files
 
@@ -133,10 +134,15 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def constant(value: object, kind: str) -> Column:
+    """A nested constant as one literal; the optimizer evaluates it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def runs(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
     """Bigrams of the text's runs of words laid by marks."""
     known = places(templates, threshold)
-    table = F.create_map(*[c for mark, p in known.items() for c in (F.lit(mark), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in p]))])
+    table = constant({mark: [{"i": i, "n": n} for i, n in p] for mark, p in known.items()}, "map<string,array<struct<i:int,n:int>>>")
 
     def of(words: Column) -> Column:
         pair = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
@@ -157,7 +163,7 @@ def matches(text: Column, templates: dict[str, str] = ALL_TEMPLATES, threshold:
     if not grams:
         return none
     up = (2 - threshold) / threshold
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n")) for name, g in grams.items()])
+    known = constant([{"name": name, "grams": g, "n": len(g)} for name, g in grams.items()], "array<struct<name:string,grams:array<string>,n:int>>")
     least, most = min(map(len, grams.values())) / up, max(map(len, grams.values())) * up
     sized = lambda sets: F.filter(sets, lambda s: (F.size(s) >= least) & (F.size(s) <= most))
 
