@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,14 +91,16 @@ def checked(thresholds: Iterable[float]) -> list[float]:
 def sweep_frame(predictions: DataFrame, *, label_col: str, thresholds: Iterable[float], score_col: str = "positive_score") -> DataFrame:
     """Confusion counts and rates at each threshold.
 
-    Each score falls into the band between two thresholds by arithmetic on the sorted
-    list; rows are summed by band, and the few bands are summed up by threshold, so
-    no row meets every threshold.
+    Each score falls into the band between two thresholds by binary search; rows are
+    summed by band, and the few bands are summed up by threshold, so no row meets every
+    threshold.  NaN reaches them all, as in a comparison.
     """
     values = checked(thresholds)
     label, score = F.col(label_col), F.col(score_col)
-    band = sum(((score >= t).cast("int") for t in values), F.lit(0))
-    bands = predictions.where(score.isNotNull()).groupBy(band.alias("band")).agg(F.count_if(label == 1).alias("p"), F.count_if(label == 0).alias("n"))
+    rows = predictions.where(score.isNotNull()).select(label.alias(label_col), score.cast("double").alias("score_"))
+    rows = Bucketizer(splits=[-math.inf, *values, math.inf], inputCol="score_", outputCol="band_", handleInvalid="keep").transform(rows)
+    band = F.least(F.col("band_").cast("int"), F.lit(len(values)))
+    bands = rows.groupBy(band.alias("band")).agg(F.count_if(label == 1).alias("p"), F.count_if(label == 0).alias("n"))
     spark = predictions.sparkSession
     grid = spark.range(1).select(F.posexplode(F.array(*map(F.lit, values))).alias("i", "threshold"))
     above = lambda c: F.coalesce(F.sum(F.when(F.col("band") > F.col("i"), F.col(c))), F.lit(0))

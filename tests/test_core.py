@@ -511,3 +511,15 @@ def test_commands(monkeypatch):
     assert line[:7] == ["spark-submit", "--master", "yarn", "--deploy-mode", "client", "--conf", "a.b=1"] and line[-4:-2] == ["--py-files", "p.zip"] and line[-1] == "hdfs:///d"
     shown = subprocess.run([sys.executable, line[-2], "--help"], capture_output=True, text=True, cwd="/")
     assert "root" in shown.stdout and shown.returncode == 0
+
+
+def test_sweep_of_odd_scores(spark):
+    scores = [None, float("nan"), float("-inf"), float("inf"), 0.0, 0.25, 0.5, 0.50001, 1.0]
+    rows = [(i % 2, s) for i, s in enumerate(scores * 2)] + [(None, 0.9)]
+    frame = spark.createDataFrame(rows, "label int, positive_score double")
+    thresholds = [i / 100 for i in range(101)]
+    swept = evaluate.threshold_sweep(frame, label_col="label", thresholds=thresholds)
+    for r in (swept[0], swept[25], swept[50], swept[51], swept[100]):
+        hit = lambda s: s != s or s >= r["threshold"]  # noqa: E731, B023
+        want = {k: sum(y == a and s is not None and hit(s) == b for y, s in rows) for k, a, b in (("tp", 1, True), ("fp", 0, True), ("fn", 1, False), ("tn", 0, False))}
+        assert {k: r[k] for k in want} == want, r["threshold"]
