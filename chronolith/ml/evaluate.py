@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +66,24 @@ def positive_class_metrics(*, tp: int, fp: int, fn: int, tn: int) -> dict:
     }
 
 
-def evaluate_predictions(predictions: DataFrame, *, label_col: str, prediction_col: str = "prediction", score_col: str = "positive_score") -> dict:
-    counts = predictions.agg(*confusion(F.col(label_col), F.col(prediction_col))).first().asDict()
-    frame = predictions.select(F.col(label_col).cast("double").alias("label"), F.col(score_col).cast("double").alias("score"))
-    area = lambda metric: BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName=metric).evaluate(frame)
-    return positive_class_metrics(**counts) | {"roc_auc": area("areaUnderROC"), "pr_auc": area("areaUnderPR")}
+def evaluate_predictions(predictions: DataFrame, *, label_col: str, prediction_col: str = "prediction", score_col: str = "positive_score", total: int | None = None) -> dict:
+    """Confusion counts, their rates, and both areas over every distinct score, from sums by score.
+
+    The precision-recall curve begins at recall 0 with the precision of the highest
+    score; NaN counts as the highest.  ``total`` is about the number of rows, counted if
+    not given.
+    """
+    label, score = F.col(label_col).cast("double"), F.col(score_col).cast("double")
+    down = F.when(F.isnan(score), float("-inf")).otherwise(-score)
+    by = predictions.groupBy(down.alias("down")).agg(F.count_if(label > 0.5).alias("p"), F.count_if(label <= 0.5).alias("n"), *confusion(label, F.col(prediction_col)))
+    placed = running(by, ["down"], ["p", "n"], predictions.count() if total is None else total)
+    p, n, tp, fp = (F.col(c) for c in ("p", "n", "before_p", "before_n"))
+    precision = (tp + p) / (tp + p + fp + n)
+    earlier = F.coalesce(F.try_divide(tp, tp + fp), precision)
+    sums = placed.where("p + n > 0").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "p", "n")], F.sum(n * (tp + p / 2)).alias("pairs"), F.sum(p * (earlier + precision) / 2).alias("area"))
+    found = {k: v or 0 for k, v in sums.first().asDict().items()}
+    roc = found["pairs"] / (found["p"] * found["n"]) if found["p"] and found["n"] else float(found["p"] > 0)
+    return positive_class_metrics(**{c: found[c] for c in ("tp", "fp", "fn", "tn")}) | {"roc_auc": roc, "pr_auc": found["area"] / found["p"] if found["p"] else 0.0}
 
 
 def roc_auc(predictions: DataFrame, *, label_col: str, score_col: str = "positive_score") -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.labels import apply_threshold, with_positive_score
 from .contract import check_predictors
@@ -19,6 +22,8 @@ AWARDS_COHORT = {"min_year": 1960, "train_end": 2007, "validation_end": 2013, "t
 HIT_THRESHOLDS = tuple(round(0.05 + 0.025 * i, 3) for i in range(37))
 #: Thresholds of the ROC and precision-recall curves of the test years.
 CURVE = tuple(i / 100 for i in range(101))
+#: Candidates fitted at once, and rows to a task of a fit: boosting runs a job for each level of each tree.
+FITS, ROWS_PER_TASK = 3, 50_000
 AWARDS_THRESHOLDS = tuple(round(0.01 + 0.02 * i, 3) for i in range(38))
 
 
@@ -41,6 +46,27 @@ def candidates(label_col: str, weight_col: str = "class_weight", max_iter: int =
     return found
 
 
+def one_fit_each(grid: dict[str, object]) -> dict[str, list[str]]:
+    """Candidate to fit -> the candidates it serves: boosted trees that differ only in their number share the largest's fit."""
+    groups: dict[object, list[str]] = {}
+    for name, e in grid.items():
+        boosted = isinstance(e, GBTClassifier) and not e.isDefined(e.validationIndicatorCol)
+        key = tuple(sorted((p.name, str(v)) for p, v in e.extractParamMap().items() if p.name != "maxIter")) if boosted else name
+        groups.setdefault(key, []).append(name)
+    return {max(names, key=lambda n: grid[n].getMaxIter()) if len(names) > 1 else names[0]: names for names in groups.values()}
+
+
+def first_trees(model: GBTClassificationModel, estimator: GBTClassifier) -> GBTClassificationModel:
+    """What the smaller estimator would fit: boosting adds tree after tree, each by the seed and its own number."""
+    n, java, sc = estimator.getMaxIter(), model._java_obj, SparkContext._active_spark_context
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], list(java.treeWeights())[:n])):
+        trees[i], weights[i] = tree, weight
+    made = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(estimator.uid, trees, weights, java.numFeatures(), java.numClasses())
+    return estimator._copyValues(GBTClassificationModel(made))
+
+
 def importance(model: PipelineModel, feature_cols: Sequence[str], top: int = 10) -> list[dict]:
     """Tree importances or absolute coefficients, the largest first."""
     last = model.stages[-1]
@@ -55,27 +81,46 @@ def save(model: PipelineModel, path: str) -> None:
 def train(frame: DataFrame, feature_cols: Sequence[str], *, label_col: str, cohort: dict, thresholds: Sequence[float], estimators: dict[str, object] | None = None, year_col: str = "start_year") -> tuple[PipelineModel, dict]:
     """Fit the candidates on the earliest years, choose model and threshold on the next, test once on the last.
 
+    The frame's needed columns are computed once and stored; values are imputed and
+    assembled once for all candidates, in tasks of about ROWS_PER_TASK rows.
+
     Returns the model and the metrics document.  ValueError if a partition has no positives.
     """
-    parts = dict(zip(("train", "validation", "test"), temporal_split(frame, year_col=year_col, **cohort)))
-    parts["train"], weights = with_balanced_class_weights(parts["train"], label_col=label_col)
-    parts = {k: p.cache() for k, p in parts.items()}
+    needed = dict.fromkeys([*feature_cols, label_col, year_col])
+    stored = frame.where(F.col(year_col) <= cohort["test_end"]).select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = dict(zip(("train", "validation", "test"), temporal_split(stored, year_col=year_col, **cohort)))
+    held = [stored]
     try:
+        parts["train"], weights = with_balanced_class_weights(parts["train"], label_col=label_col)
         summaries = {k: partition_summary(p, label_col=label_col, year_col=year_col) for k, p in parts.items()}
         empty = [k for k, s in summaries.items() if not s["positives"]]
         if empty:
             raise ValueError("no positives in " + ", ".join(empty))
-        results, models = [], {}
-        for name, estimator in (estimators or candidates(label_col)).items():
-            stages = [*feature_pipeline(feature_cols, label_col=label_col).getStages(), estimator]
-            models[name] = Pipeline(stages=stages).fit(parts["train"])
-            scored = with_positive_score(models[name].transform(parts["validation"]))
-            results.append({"candidate_id": name, "algorithm": type(estimator).__name__} | evaluate_predictions(scored, label_col=label_col))
+        parts = {k: p.coalesce(1 + summaries[k]["rows"] // ROWS_PER_TASK) for k, p in parts.items()}
+        prepared = feature_pipeline(feature_cols, label_col=label_col).fit(parts["train"])
+        made = {k: prepared.transform(p).drop(*feature_cols, *(f"{c}_imp" for c in feature_cols)).persist(StorageLevel.MEMORY_AND_DISK) for k, p in parts.items()}
+        held += made.values()
+        grid = estimators or candidates(label_col)
+
+        fits = one_fit_each(grid)
+
+        def fitted(name: str) -> Model:
+            return grid[name].fit(made["train"])
+
+        with ThreadPool(FITS) as pool:
+            largest = dict(zip(fits, pool.map(inheritable_thread_target(frame.sparkSession)(fitted), fits, chunksize=1)))
+        last = {name: first_trees(largest[big], grid[name]) if name != big else largest[big] for big, names in fits.items() for name in names}
+        models = {name: PipelineModel([*prepared.stages, last[name]]) for name in grid}
+        score = lambda name, part: with_positive_score(models[name].stages[-1].transform(made[part]))
+        results = []
+        for name, estimator in grid.items():
+            found = evaluate_predictions(score(name, "validation"), label_col=label_col, total=summaries["validation"]["rows"])
+            results.append({"candidate_id": name, "algorithm": type(estimator).__name__} | found)
         chosen = max(results, key=lambda r: (r["pr_auc"], r["roc_auc"]))
         model = models[chosen["candidate_id"]]
-        sweep = threshold_sweep(with_positive_score(model.transform(parts["validation"])), label_col=label_col, thresholds=thresholds)
+        sweep = threshold_sweep(score(chosen["candidate_id"], "validation"), label_col=label_col, thresholds=thresholds)
         locked = select_threshold(sweep)
-        scored = with_positive_score(model.transform(parts["test"])).drop("prediction")
+        scored = score(chosen["candidate_id"], "test").drop("prediction")
         tested = apply_threshold(scored, threshold=locked["threshold"])
         return model, {
             "schema_version": 2,
@@ -88,9 +133,9 @@ def train(frame: DataFrame, feature_cols: Sequence[str], *, label_col: str, coho
             "selected_candidate": chosen,
             "threshold_selection": {"source": "validation", "selected": locked, "sweep": sweep},
             "test_curve": threshold_sweep(scored, label_col=label_col, thresholds=CURVE),
-            "test_metrics": evaluate_predictions(tested, label_col=label_col),
+            "test_metrics": evaluate_predictions(tested, label_col=label_col, total=summaries["test"]["rows"]),
             "feature_importance": importance(model, feature_cols),
         }
     finally:
-        for p in parts.values():
+        for p in held:
             p.unpersist()

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Ranges for each shuffle partition, and sampled rows for each range.
 RANGES, PER_RANGE = 2, 32
 #: Rows up to which one range serves.
 ONE_RANGE = 200_000
+#: Rows that make a range worth its task, and ranges there are at least.
+RANGE_ROWS, LEAST_RANGES = 25_000, 8
 
 
 def splitters(rows: DataFrame, keys: Sequence[str], total: int) -> list[tuple]:
@@ -20,7 +25,7 @@ def splitters(rows: DataFrame, keys: Sequence[str], total: int) -> list[tuple]:
     """
     if total <= ONE_RANGE:
         return []
-    ranges = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(LEAST_RANGES, total // RANGE_ROWS))
     most = 2 * ranges * PER_RANGE
     sample = rows.select(*keys).sample(min(1.0, ranges * PER_RANGE / max(total, 1)), 17).limit(most)
     ordered = list(dict.fromkeys(map(tuple, sample.orderBy(*keys).collect())))
@@ -36,6 +41,17 @@ def range_of(rows: DataFrame, keys: Sequence[str], cuts: list[tuple]) -> Column:
     return F.size(F.filter(F.array(*literals), lambda c: c <= at))
 
 
+def dealt(rows: DataFrame, keys: Sequence[str], cuts: list[tuple]) -> DataFrame:
+    """The rows with their ``range_``: of a single fraction by binary search, else by comparison with each cut."""
+    if [rows.schema[k].dataType for k in keys] != [DoubleType()]:
+        return rows.withColumn("range_", range_of(rows, keys, cuts))
+    finite = [c for (c,) in cuts if c is not None and math.isfinite(c)]
+    if not finite:
+        return rows.withColumn("range_", range_of(rows, keys, cuts))
+    found = Bucketizer(splits=[-math.inf, *finite, math.inf], inputCol=keys[0], outputCol="range_", handleInvalid="keep").transform(rows)
+    return found.withColumn("range_", F.when(F.col(keys[0]).isNull(), 0).otherwise(F.col("range_").cast("int")))
+
+
 def running(rows: DataFrame, keys: Sequence[str], values: Sequence[str], total: int) -> DataFrame:
     """The rows with ``before_V`` for each value: its sum over all rows with smaller keys, of which no two rows share any.
 
@@ -47,12 +63,12 @@ def running(rows: DataFrame, keys: Sequence[str], values: Sequence[str], total:
     if not cuts:
         all_before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(all_before), F.lit(0)) for v in values})
-    dealt = rows.withColumn("range_", range_of(rows, keys, cuts))
+    by_range = dealt(rows, keys, cuts)
     inside = Window.partitionBy("range_").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("range_").agg(*[F.sum(v).alias(f"all_{v}") for v in values])
+    totals = by_range.groupBy("range_").agg(*[F.sum(v).alias(f"all_{v}") for v in values])
     earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("range_", *[F.coalesce(F.sum(f"all_{v}").over(earlier), F.lit(0)).alias(f"start_{v}") for v in values])
-    summed = dealt.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    summed = by_range.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
     joined = summed.join(F.broadcast(starts), "range_")
     return joined.withColumns({f"before_{v}": F.col(f"before_{v}") + F.col(f"start_{v}") for v in values}).drop("range_", *[f"start_{v}" for v in values])
 

@@ -523,3 +523,41 @@ def test_sweep_of_odd_scores(spark):
         hit = lambda s: s != s or s >= r["threshold"]  # noqa: E731, B023
         want = {k: sum(y == a and s is not None and hit(s) == b for y, s in rows) for k, a, b in (("tp", 1, True), ("fp", 0, True), ("fn", 1, False), ("tn", 0, False))}
         assert {k: r[k] for k in want} == want, r["threshold"]
+
+
+def test_areas_of_many_scores(spark, monkeypatch):
+    """Every distinct score is a point of the curves, in one range or many."""
+    r = random.Random(5)
+    rows = [(y, r.gauss(y * 0.3, 1)) for y in (r.choice([0, 0, 0, 1]) for _ in range(4000))]
+    frame = spark.createDataFrame([(y, s, float(s >= 0.5)) for y, s in rows], "label int, positive_score double, prediction double").repartition(3)
+    p, n, tp, fp, roc, pr = sum(y for y, _ in rows), sum(1 - y for y, _ in rows), 0, 0, 0.0, 0.0
+    for y, _ in sorted(rows, key=lambda v: -v[1]):
+        before = tp / (tp + fp) if tp + fp else float(y)
+        roc += (1 - y) * tp / (p * n)
+        tp, fp = tp + y, fp + 1 - y
+        pr += y / p * (before + tp / (tp + fp)) / 2
+    for one_range in (200_000, 0):
+        monkeypatch.setattr("chronolith.operators.ranks.ONE_RANGE", one_range)
+        found = evaluate.evaluate_predictions(frame, label_col="label")
+        assert abs(found["roc_auc"] - roc) < 1e-9 and abs(found["pr_auc"] - pr) < 1e-9
+        assert found["tp"] == sum(y == 1 and s >= 0.5 for y, s in rows)
+    assert evaluate.evaluate_predictions(frame.limit(0), label_col="label")["pr_auc"] == 0
+
+
+def test_boosted_candidates_share_a_fit(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    r = random.Random(6)
+    rows = [(r.choice([None, 1.0, 2.0, 3.0]), r.random(), 2000 + i % 5, r.randrange(2)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "runtime_minutes double, principal_count double, start_year int, is_hit int")
+    calls, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, *a: calls.append((self.getMaxDepth(), self.getMaxIter())) or fit(self, *a))
+    grid = {k: e.setWeightCol("class_weight") for k, e in pipeline.candidates("is_hit", max_iter=5, trees=(2, 4)).items() if k.startswith("gbt")}
+    _, doc = pipeline.train(frame, ["runtime_minutes", "principal_count"], label_col="is_hit", cohort={"train_end": 2002, "validation_end": 2003, "test_end": 2004}, thresholds=[0.1, 0.5], estimators=grid)
+    assert sorted(calls) == [(3, 4), (5, 4)] and [c["candidate_id"] for c in doc["candidate_results"]] == list(grid)
+    data = pipeline.feature_pipeline(["runtime_minutes", "principal_count"], label_col="is_hit").fit(frame).transform(frame).withColumn("class_weight", F.lit(1.0)).coalesce(1)
+    small, large = grid["gbt_3_2"].fit(data), grid["gbt_3_4"].fit(data)
+    cut = pipeline.first_trees(large, grid["gbt_3_2"])
+    assert cut.getNumTrees == 2 and cut.treeWeights == small.treeWeights and cut.featureImportances == small.featureImportances
+    score = lambda m: [tuple(v) for v in m.transform(data).select("probability", "prediction").collect()]
+    assert score(cut) == score(small) != score(large)
