@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.clean import bucket, with_decade
 from ..functions.labels import hit
 from .explode import explode_tags
-from .ranks import quantiles, running
+from .ranks import near_quantiles, quantiles, running
 
 
 def with_medians(rows: DataFrame, keys: Sequence[str], out: list[Column], medians: dict[str, str], exact: bool) -> DataFrame:
-    """The groups' aggregates and medians (name -> column): by percentile_approx, or exact by ranks."""
-    if not exact:
-        return rows.groupBy(*keys).agg(*out, *[F.percentile_approx(column, 0.5).alias(name) for name, column in medians.items()])
-    found, total = rows.groupBy(*keys).agg(*out), rows.count()
+    """The groups' aggregates and medians (name -> column): by percentile_approx and counts around it, or by ranks."""
+    found, total = rows.groupBy(*keys).agg(*out), rows.count() if exact else 0
     for name, column in medians.items():
-        found = found.join(quantiles(rows, keys, column, 0.5, name, total), [*keys], "left")
+        one = quantiles(rows, keys, column, 0.5, name, total) if exact else near_quantiles(rows, keys, column, 0.5, name)
+        found = found.join(one, [*keys], "left")
     return found
 
 
@@ -39,11 +38,11 @@ def runtime_bucket_stats(movies: DataFrame, *, bucket_minutes: int = 15, min_run
 
 def rating_anomalies(movies: DataFrame, *, high_rating: float = 8.0, vote_percentile: float = 0.10, exact: bool = False) -> DataFrame:
     """Well rated films with few votes.  The cut is one row of the same plan; an empty table's cut is 0."""
-    one = quantiles(movies, [], "num_votes", vote_percentile, "q") if exact else movies.agg(F.percentile_approx("num_votes", vote_percentile).cast("double").alias("q"))
+    one = quantiles(movies, [], "num_votes", vote_percentile, "q") if exact else near_quantiles(movies, [], "num_votes", vote_percentile, "q")
     cut = one.agg(F.coalesce(F.max("q"), F.lit(0.0)).alias("vote_cut_used"))
     rows = movies.join(F.broadcast(cut), F.col("num_votes") <= F.col("vote_cut_used")).where(F.col("average_rating") >= high_rating)
     names = ("tconst", "primary_title", "start_year", "average_rating", "num_votes", "runtime_minutes", "vote_cut_used")
-    return rows.select(*names).orderBy(F.desc("average_rating"), "num_votes")
+    return rows.select(*names).orderBy(F.desc("average_rating"), "num_votes", "tconst")
 
 
 def director_prior_vs_rating(movies: DataFrame) -> DataFrame:

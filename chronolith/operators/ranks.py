@@ -17,6 +17,9 @@ ONE_RANGE = 200_000
 #: Rows that make a range worth its task, and ranges there are at least.
 RANGE_ROWS, LEAST_RANGES = 25_000, 8
 
+#: Share of the rows on each side of a percentile among which it is looked for: thrice percentile_approx's error.
+NEAR = 0.0003
+
 
 def splitters(rows: DataFrame, keys: Sequence[str], total: int) -> list[tuple]:
     """Keys that part the rows' order into ranges of about equal size, from a sample of bounded size.
@@ -86,3 +89,30 @@ def quantiles(rows: DataFrame, keys: Sequence[str], column: str, p: float, name:
     joined = ranked.join(groups, [*keys]) if keys else ranked.join(F.broadcast(groups))
     reached = joined.where(F.col("before_n") + F.col("n") - F.col("first_") >= p * F.col("size_") - 1e-9 * F.col("size_"))
     return reached.groupBy(*keys).agg(F.min(column).cast("double").alias(name))
+
+
+def near_quantiles(rows: DataFrame, keys: Sequence[str], column: str, p: float, name: str) -> DataFrame:
+    """What ``quantiles`` finds, with percentile_approx to look near and counts to decide.
+
+    Approximate percentiles on both sides of ``p`` part a group's values into three
+    bands.  The bands' counts say exactly which of them holds the percentile, the middle one
+    unless the approximation missed, and only that band's values are counted one by one.
+    """
+    sides = [max(0.0, p - NEAR), min(1.0, p + NEAR)]
+    value = F.col(column)
+    present = rows.where(value.isNotNull()).select(*keys, column)
+    meet = lambda df, one: df.join(one, [*keys]) if keys else df.join(F.broadcast(one))
+    cuts = present.groupBy(*keys).agg(F.percentile_approx(column, sides).alias("cuts_"))
+    low, high = F.get("cuts_", F.lit(0)), F.get("cuts_", F.lit(1))
+    band = F.when(value < low, 0).when(value <= high, 1).otherwise(2)
+    banded = meet(present, cuts)
+    counts = banded.groupBy(*keys).agg(*[F.count_if(band == i).alias(f"n{i}_") for i in range(3)], F.first("cuts_").alias("cuts_"))
+    below, within = F.col("n0_"), F.col("n0_") + F.col("n1_")
+    size = within + F.col("n2_")
+    wanted = p * size - 1e-9 * size
+    chosen = F.when((below > 0) & (below >= wanted), 0).when((within > 0) & (within >= wanted), 1).otherwise(2)
+    placed = counts.select(*keys, "cuts_", wanted.alias("wanted_"), chosen.alias("chosen_"), F.when(chosen == 0, 0).when(chosen == 1, below).otherwise(within).alias("start_"))
+    inside = meet(present, placed).where(band == F.col("chosen_")).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"), F.first("wanted_").alias("wanted_"), F.first("start_").alias("start_"))
+    upto = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = inside.withColumn("upto_", F.col("start_") + F.sum("n").over(upto)).where("upto_ >= wanted_")
+    return reached.groupBy(*keys).agg(F.min(column).cast("double").alias(name))

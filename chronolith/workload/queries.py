@@ -193,7 +193,7 @@ def doubled(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def genre_decades_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the jobs compute them: percentile_approx, whose error is under a rank up to 10,000 rows a group."""
+    """As the jobs compute them: percentile_approx, then counts around it."""
     return doubled(analytics.genre_decade_stats(tagged(spark, sf_dir)), "median_rating", "median_votes")
 
 
