@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -23,6 +26,8 @@ SPACE = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker takes at once.
 SLICE_BYTES = 8 << 20
+#: Rows of a narrow table that a file should get.
+FILE_ROWS = 100_000
 #: Applications that have the package already.
 _sent: set[str] = set()
 
@@ -59,6 +64,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a narrow table of about ``rows`` rows, in no more partitions than they need, or than there are cores if those are more.
+
+    To create a file in a local folder an executor starts several processes, each for a
+    moment a copy of the executor; a file for each shuffle partition would be thousands.
+    The rows are the same whatever ``rows`` is.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 @functools.cache
 def _package() -> str:
     """This package's modules as a zip archive, in a folder that goes when the driver ends."""
@@ -72,13 +87,26 @@ def _package() -> str:
     return path
 
 
+def give_back() -> None:
+    """Return freed memory to the machine; otherwise a worker that waits keeps what its largest task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` by workers that have this package, installed there or not."""
+    """``mapInArrow`` by workers that have this package, installed there or not, and that keep no memory between tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
     context = df.sparkSession.sparkContext
     if context.applicationId not in _sent:
         context.addPyFile(_package())
         _sent.add(context.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def partitions(spark: SparkSession) -> int:

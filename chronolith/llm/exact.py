@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, partitions, text_of
+from .common import SPACES, cut, few, partitions, text_of
 from .packing import RANGES, range_of, splitters
 
 #: Characters of normalised content in a splitter.
@@ -71,5 +71,6 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def keep(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stay, with their own columns."""
     ordered = content_sort(docs, True, id_column, text_column)
-    lost = decide(ordered).where(~F.col("best")).select("bucket", "run")
+    # written narrow: if its files are under Spark's threshold the whole rows stay where they are, else both sides are sorted
+    lost = cut(few(decide(ordered).where(~F.col("best")).select("bucket", "run"), ordered.count()))
     return ordered.where("first").join(lost, ["bucket", "run"], "left_anti").select("row.*")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, text_of
+from .common import cut, few, map_arrow, slices, text_of
 
 WORDS, SEED, DISTANCE, SEGMENT = 3, 42, 3, 32
 #: Fingerprints with one segment value from which its buckets are divided.
@@ -153,16 +153,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, nodes: int | None = None) -> DataFrame:
     """node and root (its component's smallest node) of every node in a pair.
 
+    ``nodes``, how many there are at most, sizes the files of the first round and decides no result.
+
     Rounds of a large star (every node's larger neighbours go to its smallest) and a
     small star (its smaller ones too), as long as the pairs change: about the
     logarithm of the longest chain.  Each round's pairs are written, so lineage
     stays short.
     """
     smaller = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, seen = cut(smaller(map_arrow(pairs, _forest, "u bigint, v bigint"))), None
+    stars = smaller(map_arrow(pairs, _forest, "u bigint, v bigint"))
+    edges, seen = cut(stars if nodes is None else few(stars, nodes)), None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen or not state[0]:
@@ -174,13 +177,13 @@ def components(pairs: DataFrame) -> DataFrame:
         own = smaller(large)
         low = own.groupBy("u").agg(F.min("v").alias("m"))
         small = own.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v")
-        edges = cut(smaller(small))
+        edges = cut(few(smaller(small), state[0]))
 
 
 def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fp and component_id (the smallest id reachable) of every distinct fingerprint."""
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps.select("fp"), distance))
+    fps = cut(few(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), prints.count()))
+    roots = components(links(fps.select("fp"), distance), fps.count())
     placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(ids, "root").select("fp", "component_id")
@@ -195,7 +198,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_column: str =
 
 def keep(docs: DataFrame, distance: int = DISTANCE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The document of each component with the smallest id, with its own columns; rows with a null id stay."""
-    found = near_duplicates(docs, distance, id_column, text_column)
-    lost = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("lost_id")))
+    prints = fingerprints(docs, id_column, text_column)
+    found = prints.join(classes(prints, distance), "fp")
+    lost = cut(few(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("lost_id")), prints.count()))
     # no hint: Spark broadcasts the ids if their files are under its threshold, and joins by sorting if not
     return docs.join(lost, docs[id_column] == lost["lost_id"], "left_anti")

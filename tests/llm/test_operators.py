@@ -872,3 +872,66 @@ def test_secret_copies_in_plain_context():
             assert key not in secret_scan.redacted(text) and len(secret_scan.spans_of(text)) == 2
     word = "load_session_registry_for_handlers"
     assert secret_scan.spans_of(f"the token {word} of the server, then {word} and {word} again for requests") == []
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Each shuffle has 64 partitions, none of them merged."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(old, ("64", "false")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_narrow_tables_have_few_files(spark, tmp_path, monkeypatch, many_partitions):
+    import itertools
+
+    from chronolith.llm import common
+
+    folders, fresh = [], itertools.count()
+
+    def folder(session):
+        folders.append(tmp_path / f"table-{next(fresh)}")
+        return str(folders[-1])
+
+    monkeypatch.setattr(common, "scratch", folder)
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(400)) for _ in range(300)]
+    near = [t.rsplit(" ", 1)[0] for t in texts[:150]]  # a chance of linking each
+    docs = spark.createDataFrame(list(enumerate(texts + near + texts[:20])), "doc_id bigint, text string").coalesce(4)
+    for keep in (exact.keep, simhash.keep):
+        folders.clear()
+        ids = {d.doc_id for d in keep(docs).collect()}
+        assert ids >= set(range(300)) and not ids & set(range(450, 470))
+        tables = [len(list(f.glob("part-*.parquet"))) for f in folders]
+        # the first one of exact.keep has the whole rows, by ranges
+        assert len(tables) >= 2 and max(tables[keep is exact.keep :]) <= spark.sparkContext.defaultParallelism
+
+
+def test_waiting_workers_keep_no_memory(spark):
+    import os
+    from pathlib import Path
+
+    from chronolith.llm.common import map_arrow
+
+    tokenizer = queries.vocabulary(queries.WORD_BPE)
+
+    def used():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+
+    def large(batches):
+        for batch in batches:
+            encoder = ChunkEncoder(tokenizer, False)
+            encoder.encode([" ".join(f"w{i}x{i * 7919}" for i in range(k, k + 20_000)) for k in range(0, 400_000, 20_000)])
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [used()]})
+
+    def small(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [used()]})
+
+    after = lambda run: {x.pid: x.mb for x in map_arrow(spark.range(0, 4, 1, 4).select("id"), run, "pid bigint, mb bigint").collect()}
+    was, now = after(large), after(small)
+    assert was.keys() & now.keys()
+    assert all(now[pid] < 0.55 * was[pid] for pid in was.keys() & now.keys()), (was, now)
